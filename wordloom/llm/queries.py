@@ -12,6 +12,10 @@ from wordloom.llm.language import fit, held_out, predictions
 from wordloom.llm.mixing import mix, taken
 from wordloom.llm.near_dedup import near_duplicates
 from wordloom.llm.phrase_dedup import substring_dedup
+from wordloom.llm.toxicity import toxicity, train
+
+#: The categories that ``labels`` has, in chain order.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(mix(_table(spark, sf_dir, "documents"))).drop("source")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity(documents, train(documents, _table(spark, sf_dir, "labels"), CATEGORIES), "toxic")
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +51,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
