@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.chat import conversation_digests
 from wordloom.llm.decontaminate import contamination
 from wordloom.llm.language import fit, held_out, predictions
 from wordloom.llm.mixing import mix, taken
@@ -43,6 +44,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+#: What both rows of the added conversation -7 say.
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    return conversation_digests(rows.union(added))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     model = fit(documents.where(~held_out(F.col("doc_id"))))
@@ -55,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
 
