@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.chat import conversation_digests
 from wordloom.llm.decontaminate import contamination
+from wordloom.llm.fingerprint import fingerprints
 from wordloom.llm.language import fit, held_out, predictions
+from wordloom.llm.licenses import oracle as license_sql
+from wordloom.llm.licenses import scan
 from wordloom.llm.mixing import mix, taken
 from wordloom.llm.near_dedup import near_duplicates
 from wordloom.llm.phrase_dedup import substring_dedup
@@ -40,6 +43,14 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -65,9 +76,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_fingerprints": op7_fingerprints,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": license_sql()}
