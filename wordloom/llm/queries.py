@@ -17,6 +17,7 @@ from wordloom.llm.mixing import mix, taken
 from wordloom.llm.near_dedup import near_duplicates
 from wordloom.llm.phrase_dedup import substring_dedup
 from wordloom.llm.toxicity import toxicity, train
+from wordloom.llm.url_filter import filtered
 
 #: The categories that ``labels`` has, in chain order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -39,6 +40,11 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("blocked"))
+    return filtered(_table(spark, sf_dir, "pages"), labels)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_url_filter": op4_url_filter,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_fingerprints": op7_fingerprints,
