@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
 from wordloom.llm.components import connected
-from wordloom.llm.store import written
+from wordloom.llm.store import limited, written
 
 SHINGLE_WORDS = 5
 BANDS = 32
@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     firsts = sets.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
     rowed = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rowed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
-    members = written(rowed.join(shared, "bucket"), "near-buckets")
+    members = written(rowed.join(limited(written(shared, "near-shared")), "bucket"), "near-buckets")
 
     # Every member against its bucket's least member.
     centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
@@ -175,8 +175,8 @@ def _close(percent: int) -> Column:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), k), "near-sets")
+    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-wanted")
+    sets = written(shingle_sets(docs.join(limited(wanted), "doc_id", "left_semi"), k), "near-sets")
     return written(verified(pairs, sets, percent), "near-links")
 
 
@@ -188,7 +188,7 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, percent: int, k: int) -> DataF
     first in it and yield no pair, so edits of one text that differ in too many
     shingles of their own never meet.
     """
-    texts = docs.join(rest.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    texts = docs.join(limited(rest.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     rows = shingle_sets(texts, k).select(F.col("doc_id").alias("id"), F.explode("shingles").alias("shingle")).join(rest.select("id", "n", "component"), "id")
     rows = written(rows, "near-shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "df")
@@ -204,3 +204,14 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, percent: int, k: int) -> DataF
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
     met = left.join(right, (F.col("shingle") == F.col("same")) & (F.col("of_a") < F.col("of_b")) & _close(percent) & enough)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, its columns unchanged; rows with a null doc_id stay."""
+    near = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    key = docs["doc_id"].cast("long")
+    kept = docs.join(limited(written(near, "near-kept")), key == F.col("_kept"), "left_semi")
+    # Rows are shuffled by doc_id only if some of them share one.
+    if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no folder (local runs and tests).
 LOCAL_FOLDER = "/tmp/checkpoints/wordloom"
@@ -26,5 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of ids that may be broadcast (about 40 MB in memory); more are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
+
+
+def limited(written_ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a written table of ids for broadcast if its counted size allows it."""
+    return F.broadcast(written_ids) if written_ids.count() <= rows else written_ids
+
