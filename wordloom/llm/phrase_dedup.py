@@ -13,8 +13,8 @@ has an anchor that recurs.
    inside a word.  This locates every occurrence, and so every window that can
    recur.
 3. Windows with one anchor occurrence in common form a passage.  Equal passages
-   collapse to the first document that has them; only the windows of such first
-   passages are compared one by one, by 96-bit hashes.
+   collapse to the first document that has them; where an anchor has several
+   passages, the windows of these first ones are compared, by 96-bit hashes.
 
 Scale: a shard holds a few MB of text and automata at most ``AUTOMATON``
 phrases large; hot passages collapse before windows are spread; no group is
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
-from wordloom.llm.store import written
+from wordloom.llm.store import limited, written
 
 WINDOW = 50
 PHRASE = 10
@@ -123,7 +123,7 @@ class Automata:
         return places[places + self.phrase <= self.words.offsets[doc + 1]]
 
 
-_PASSAGE = "doc_id long, first int, n int, key_a long, key_b long, windows binary"
+_PASSAGE = "doc_id long, first int, n int, phrase long, key_a long, key_b long, windows binary"
 
 
 def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -159,11 +159,11 @@ def _passages(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[doc], pa.int64()), pa.array(start - words.offsets[doc], pa.int32()), pa.array(n, pa.int32()),
+                        pa.array(ids[doc], pa.int64()), pa.array(start - words.offsets[doc], pa.int32()), pa.array(n, pa.int32()), pa.array(W.signed(hashes[anchor[first]])),
                         pa.array(W.signed(W.span_hash(total, start, end))), pa.array(W.signed(W.span_hash(other, start, end))),
                         pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.append(first, len(begin)).astype(np.int32) * np.int32(12)), pa.py_buffer(raw)]),
                     ],
-                    names=["doc_id", "first", "n", "key_a", "key_b", "windows"],
+                    names=["doc_id", "first", "n", "phrase", "key_a", "key_b", "windows"],
                 )
 
     return docs.mapInArrow(run, _PASSAGE)
@@ -193,14 +193,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     rows = written(_anchor_rows(known, window, phrase), "phrase-anchors")
     recurring = rows.groupBy("phrase").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("phrase")
-    lists = rows.join(recurring, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases"))
-    passages = written(_passages(known.join(lists, "doc_id"), window, phrase), "phrase-passages")
-    keys = ["key_a", "key_b", "n"]
+    lists = written(rows.join(limited(written(recurring, "phrase-recurring")), "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "phrase-lists")
+    # Documents without a recurring phrase have no recurring window.
+    scanned = known.join(limited(lists.select("doc_id")), "doc_id", "left_semi")
+    passages = written(_passages(scanned.join(lists, "doc_id"), window, phrase), "phrase-passages")
+    keys = ["phrase", "key_a", "key_b", "n"]
     firsts = written(passages.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrase-firsts")
     # All windows of a passage that an earlier document has whole.
     whole = passages.drop("windows").join(firsts.where("least < most"), keys).where("doc_id > least").select("doc_id", "first", "n")
-    # Windows of passages in their first documents, against all other such windows.
-    heads = passages.join(firsts.select(*keys, F.col("least").alias("doc_id")), [*keys, "doc_id"], "left_semi")
+    # Windows of passages in their first documents, against those of other passages with the same anchor.
+    several = firsts.groupBy("phrase").agg(F.count("*").alias("passages")).where("passages > 1").select("phrase")
+    mixed = firsts.join(several, "phrase").select(*keys, F.col("least").alias("doc_id"))
+    heads = passages.join(mixed, [*keys, "doc_id"], "left_semi")
     spread = written(_spread(heads), "phrase-windows")
     least = spread.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
     single = spread.join(least, ["a", "b"]).where("doc_id > low").select("doc_id", "first", F.lit(1).alias("n"))
@@ -208,9 +212,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
 
 
 def _removed(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """The documents with their repeated runs of windows, as an array."""
+    """The documents with their repeated runs of windows, as an array; null where there is none."""
     spans = repeated_spans(docs, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
-    return docs.join(spans.withColumnRenamed("doc_id", "_of"), docs["doc_id"].cast("long") == F.col("_of"), "left").drop("_of")
+    spans = written(spans.withColumnRenamed("doc_id", "_of"), "phrase-runs")
+    ids, key = limited(spans.select("_of")), docs["doc_id"].cast("long")
+    # Texts that lose nothing are not shuffled with those that do.
+    same = docs.join(ids, key == F.col("_of"), "left_anti").withColumn("_runs", F.lit(None).cast(spans.schema["_runs"].dataType))
+    return docs.join(ids, key == F.col("_of"), "left_semi").join(spans, key == F.col("_of")).drop("_of").unionByName(same)
 
 
 def _cover(n_words: int, runs: pa.Scalar, window: int) -> np.ndarray:
