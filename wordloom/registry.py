@@ -1,25 +1,441 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.functions import grades, similarity
+from wordloom.functions.core import words
+from wordloom.functions.normalize import normalize_english, strip_tags
+from wordloom.functions.tokens import bigrams, local_terms
+from wordloom.operators import evalkit, index, quota, record_match, retrieve, verse_match
+from wordloom.operators.align import alignment, best_window, dense_quote, lcs_length
+from wordloom.plans import search
+from wordloom.vocab import retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _norm(x: str) -> str:
+    """DuckDB's form of ``normalize_english``."""
+    out = f"regexp_replace(lower({x}), '\\([^)]*\\)', ' ', 'g')"
+    out = f"regexp_replace(translate({out}, '()', '  '), '[''\"’`\\-–]', '', 'g')"
+    return f"trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+_SPACES = "[\\t\\n\\v\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+
+
+def _english_words(text: str = "text") -> Column:
+    return words(normalize_english(F.col(text)))
+
+
+def _verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chapters, turns as verses."""
+    rows = _table(spark, sf_dir, "conversations")
+    return rows.select(F.col("conv_id").alias("chapter"), F.col("turn").alias("verse"), "text", _english_words().alias("words"))
+
+
+_STREAM = f"""
+v AS (SELECT conv_id AS chapter, turn AS verse, {_words(_norm("text"))} AS ws FROM conversations),
+b AS (SELECT *, coalesce(sum(len(ws)) OVER (PARTITION BY chapter ORDER BY verse ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM v),
+s AS (SELECT chapter, verse, base, i AS place, base + i AS g, ws[i + 1] AS word FROM (SELECT *, unnest(range(0, len(ws))) AS i FROM b))
+"""
+
+
+@_query(f"SELECT doc_id, {_norm('text')} AS norm FROM documents")
+def normalize_english_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", normalize_english(F.col("text")).alias("norm"))
+
+
+@_query(f"""SELECT page_id, len(list_filter(string_split_regex(regexp_replace(html, '<[^>]*>', ' ', 'g'), '{_SPACES}'), lambda w: w <> ''))::BIGINT AS n_words FROM pages""")
+def tag_strip_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.size(words(strip_tags(F.col("html")))).cast("bigint").alias("n_words"))
+
+
+@_query(f"WITH {_STREAM} SELECT chapter, verse, place::BIGINT AS place, g::BIGINT AS g, word FROM s")
+def word_stream_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = index.word_stream(_verses(spark, sf_dir))
+    return out.withColumns({c: F.col(c).cast("bigint") for c in ("place", "g")})
+
+
+@_query(f"""WITH {_STREAM}, p AS (SELECT word AS first, lead(word) OVER (PARTITION BY chapter, verse ORDER BY place) AS second, chapter FROM s)
+SELECT first, second, count(*) AS n, count(DISTINCT chapter) AS chapters FROM p WHERE second IS NOT NULL GROUP BY ALL""")
+def stream_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = index.stream_bigrams(_verses(spark, sf_dir))
+    return pairs.groupBy("first", "second").agg(F.count("*").alias("n"), F.countDistinct("chapter").alias("chapters"))
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_words(_norm("text"))} AS w FROM documents)
+SELECT doc_id, len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))::BIGINT AS n_bigrams FROM d""")
+def record_bigrams_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.size(bigrams(_english_words())).cast("bigint").alias("n_bigrams"))
+
+
+_POSTED = "p AS (SELECT DISTINCT doc_id, t AS token FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS t FROM documents))"
+
+
+@_query(f"WITH {_POSTED} SELECT token, count(*) AS df FROM p GROUP BY token")
+def postings_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_frequencies(index.latin_postings(_table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+_WEAK = ", ".join(f"'{w}'" for w in retrieval.WEAK_TERMS if w.isascii())
+_RARE = ", ".join(f"'{w}'" for w in retrieval.RARE_TERMS if w.isascii())
+_GENERIC = ", ".join(f"'{w}'" for w in retrieval.GENERIC_TERMS if w.isascii())
+_STOPS = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS if w.isascii())
+#: Digits vanish in the Arabic normal form that weak terms are looked up in.
+_LETTERS = "regexp_replace({0}, '[0-9]', '', 'g')"
+
+
+@_query(f"WITH {_POSTED}, f AS (SELECT token, count(*) AS df FROM p GROUP BY token) SELECT token, df FROM f WHERE df <= (SELECT count(*) FROM documents) * 0.0075")
+def rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    frequencies = index.document_frequencies(index.latin_postings(documents, "doc_id", "text"))
+    total = documents.agg(F.count("*").alias("total"))
+    return frequencies.join(F.broadcast(total)).where(F.col("df") <= F.col("total") * F.lit(retrieve.RARE_SHARE)).select("token", "df")
+
+
+@_query("SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.collection_counts(_table(spark, sf_dir, "documents"), "source")
+
+
+@_query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, phrases = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
-    phrases = phrases.select("item_id", F.col("text").alias("phrase"))
-    return documents.join(phrases, F.expr("instr(text, phrase) > 0")).select("doc_id", "item_id")
+    """Inner words of a contained phrase are words of the text, so three of them find it by hash join."""
+    phrases = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"), F.split("text", " ").alias("w"))
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    long = phrases.where(F.size("w") >= 5).select("item_id", "phrase", F.array_join(F.slice("w", 2, 3), " ").alias("anchor"))
+    at = F.sequence(F.lit(1), F.size("t") - 2)
+    runs = documents.withColumn("t", F.split("text", " ")).where(F.size("t") > 2).select("doc_id", "text", F.explode(F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice("t", i, 3), " ")))).alias("anchor"))
+    by_anchor = runs.join(long, "anchor").where(F.expr("instr(text, phrase) > 0")).select("doc_id", "item_id")
+    short = phrases.where(F.size("w") < 5).select("item_id", "phrase")
+    return by_anchor.union(documents.join(short, F.expr("instr(text, phrase) > 0")).select("doc_id", "item_id"))
+
+
+@_query()
+def greedy_in_order_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    records = _table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("record_id"), F.col("role").alias("collection"), F.col("conv_id").alias("number"), "text")
+    return search.scan_records(queries, records).select("query_id", "record_id", "confidence", "state")
+
+
+def _slices(spark: SparkSession, sf_dir: str, n: int = 8) -> DataFrame:
+    """Eight words from 45 % of each turn, as queries."""
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    return evalkit.slice_cases(rows.withColumn("text", normalize_english(F.col("text"))), "query_id", "text", n).select("query_id", words(F.col("query")).alias("words"))
+
+
+_SLICES = f"""
+q0 AS (SELECT conv_id * 1000 + turn AS query_id, {_words(_norm("text"))} AS w FROM conversations),
+q AS (SELECT query_id, w[st + 1:st + 8] AS words FROM (SELECT *, least(len(w) - 8, floor(len(w) * 0.45)::INT) AS st FROM q0 WHERE len(w) >= 8))
+"""
+_WINDOWS = f"""WITH {_STREAM}, {_SLICES},
+pr AS (SELECT word AS first, lead(word) OVER (PARTITION BY chapter, verse ORDER BY place) AS second, chapter, g FROM s),
+one AS (SELECT query_id, i, words[i + 1] AS word FROM (SELECT *, unnest(range(0, 2)) AS i FROM q)),
+two AS (SELECT query_id, i, words[i + 1] AS first, words[i + 2] AS second FROM (SELECT *, unnest(range(0, 3)) AS i FROM q)),
+c AS (SELECT query_id, chapter, greatest(0, g - i) AS st FROM one JOIN s USING (word) UNION SELECT query_id, chapter, greatest(0, g - i) FROM two JOIN pr USING (first, second)),
+x AS (SELECT query_id, chapter, st, st + i AS g, words[i + 1] AS qw FROM (SELECT c.*, words, unnest(range(0, 8)) AS i FROM c JOIN q USING (query_id))),
+y AS (SELECT x.query_id, x.chapter, x.st, s.verse, CASE WHEN qw = word THEN 1.0::DOUBLE WHEN abs(len(qw) - len(word)) > 2 THEN 0.0 ELSE 1 - levenshtein(qw, word)::DOUBLE / greatest(len(qw), len(word)) END AS sim, qw = word AS eq FROM x JOIN s USING (chapter, g)),
+z AS (SELECT *, CASE WHEN eq THEN 1.0::DOUBLE WHEN sim >= 0.85 THEN 0.9 WHEN sim >= 0.7 THEN 0.7 ELSE 0.0 END AS score FROM y),
+w AS (SELECT query_id, chapter, st, floor(sum(score) / 8 * 100 + 0.5)::INT AS confidence, min(verse) AS start_verse, max(verse) AS end_verse FROM z GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, chapter, start_verse, end_verse ORDER BY confidence DESC, st) AS k FROM w WHERE confidence >= 65),
+t AS (SELECT *, max(confidence) OVER (PARTITION BY query_id) AS top FROM r WHERE k = 1)
+"""
+
+
+@_query(_WINDOWS + "SELECT query_id, chapter, st::INT AS start, start_verse, end_verse, confidence FROM t WHERE top >= 70 AND confidence >= greatest(70, top - 3)")
+def verse_window_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verses, queries = _verses(spark, sf_dir), _slices(spark, sf_dir)
+    stream, bases = index.word_stream(verses), verse_match.verse_bases(verses)
+    pairs = index.stream_bigrams(verses).join(bases.select("chapter", "verse", "base"), ["chapter", "verse"]).select("chapter", (F.col("base") + F.col("place")).alias("g"), "first", "second")
+    found = verse_match.score_windows(verse_match.start_candidates(queries, stream, pairs), queries, stream, similarity.english_similarity)
+    return verse_match.best_windows(found).select("query_id", "chapter", F.col("start").cast("int").alias("start"), "start_verse", "end_verse", "confidence")
+
+
+@_query(_WINDOWS + """, m AS (SELECT query_id, chapter, st, start_verse, end_verse FROM t WHERE top >= 70 AND confidence >= greatest(70, top - 3))
+SELECT query_id, m.chapter, st::INT AS start, verse, greatest(0, least(st + 8, base + len(ws)) - greatest(st, base))::INT AS taken, len(ws)::INT AS n
+FROM m JOIN b ON m.chapter = b.chapter AND b.verse BETWEEN start_verse AND end_verse AND len(ws) > 0""")
+def verse_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = verse_window_match(spark, sf_dir).withColumn("n_words", F.lit(8))
+    out = verse_match.verse_breakdown(matches, verse_match.verse_bases(_verses(spark, sf_dir)))
+    return out.select("query_id", "chapter", "start", "verse", F.col("taken").cast("int").alias("taken"), "n")
+
+
+@_query()
+def verse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = verse_match.match_verses(_slices(spark, sf_dir), _verses(spark, sf_dir), similarity.english_similarity)
+    return out.select("query_id", "chapter", "start", "confidence", "coverage", "state", "place")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _english_words()
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("collection"), F.col("doc_id").alias("number"), tokens.alias("full"), tokens.alias("matn"))
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = _english_words()
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens.alias("full"), tokens.alias("matn"), F.lit(False).alias("stripped"))
+
+
+def _grams(table: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM (SELECT {key}, {_words(_norm('text'))} AS w FROM {table})"
+
+
+_CANDIDATES = f"""WITH d AS ({_grams("documents", "doc_id")}), p AS ({_grams("benchmark", "item_id")}),
+c AS (SELECT item_id AS query_id, doc_id AS record_id, 9 * count(*) AS score FROM p JOIN d USING (bigram) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS place FROM c),
+t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS top FROM r WHERE place <= 12)
+"""
+
+
+@_query(_CANDIDATES + "SELECT query_id, record_id, score, place::INT AS place FROM t WHERE NOT ((top >= 10 AND score < 3) OR (top >= 15 AND score < 0.25 * top))")
+def record_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = index.record_bigrams(_documents(spark, sf_dir), ["record_id"], F.col("full"))
+    return record_match.pruned(record_match.candidates(_phrases(spark, sf_dir), posted)).select("query_id", "record_id", "score", "place")
+
+
+def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = record_candidates_topk(spark, sf_dir).where("place = 1")
+    asked = _phrases(spark, sf_dir).select("query_id", F.col("full").alias("ask"))
+    return found.join(asked, "query_id").join(_documents(spark, sf_dir), "record_id")
+
+
+@_query(_CANDIDATES + f""", b AS (SELECT t.query_id, t.record_id, {_words(_norm("i.text"))} AS q, {_words(_norm("d.text"))} AS s FROM t JOIN benchmark i ON i.item_id = t.query_id JOIN documents d ON d.doc_id = t.record_id WHERE place = 1),
+h AS (SELECT *, list_transform(s, lambda w: list_contains(q, w)::INT) AS hits FROM b),
+m AS (SELECT *, -list_max(list_transform(range(0, len(s) - len(q) + 1), lambda i: list_sum(hits[i + 1:i + len(q)]) * 1000000 - i)) % 1000000 AS raw FROM h),
+a AS (SELECT *, CASE WHEN raw < 0 THEN raw + 1000000 ELSE raw END AS st FROM m)
+SELECT query_id, record_id, array_to_string(CASE WHEN len(s) <= len(q) + 8 THEN s ELSE s[greatest(0, st - 4)::INT + 1:least(len(s), st + len(q) + 6)::INT] END, ' ') AS part FROM a""")
+def best_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _met(spark, sf_dir).select("query_id", "record_id", F.array_join(best_window(F.col("ask"), F.col("full")), " ").alias("part"))
+
+
+@_query()
+def align_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _met(spark, sf_dir).withColumn("a", alignment(F.col("ask"), best_window(F.col("ask"), F.col("full"))))
+    return out.select("query_id", "record_id", "a.confidence", "a.exact", "a.near", "a.gone", "a.extra")
+
+
+@_query()
+def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_records(_phrases(spark, sf_dir), _documents(spark, sf_dir)).select("query_id", "record_id", "confidence", "state", "place")
+
+
+@_query()
+def highlight_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = best_window(F.col("ask"), F.col("full"))
+    return _met(spark, sf_dir).select("query_id", "record_id", lcs_length(F.col("ask"), part).alias("lcs"))
+
+
+@_query()
+def attestation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), _english_words().alias("matn"))
+    return record_match.attestations(rows, rows).select("target", "record_id", "shared", "ratio")
+
+
+_TERMS = ["the", "tion", "er", "que", "ung"]
+
+
+@_query(f"""WITH v AS (SELECT conv_id, turn, {_words(_norm("text"))} AS w FROM conversations),
+c AS (SELECT *, list_max(list_transform(range(0, greatest(len(w) - 25, 0) + 1), lambda i: len(list_filter({_TERMS}, lambda t: len(list_filter(w[i + 1:i + 25], lambda x: contains(x, t) OR contains(t, x))) > 0)) * 1000000 - i)) AS best FROM v)
+SELECT conv_id, turn, array_to_string(CASE WHEN len(w) <= 25 THEN w ELSE w[((1000000 - best % 1000000) % 1000000)::INT + 1:((1000000 - best % 1000000) % 1000000)::INT + 25] END, ' ') AS quote FROM c""")
+def dense_quote_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = F.array(*[F.lit(t) for t in _TERMS])
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", dense_quote(_english_words(), terms, 25).alias("quote"))
+
+
+_CLASSES = f"""WITH {_POSTED}, f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+l AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[0-9]', ' ', 'g'), '[a-z]{{2,}}')) AS term FROM benchmark),
+k AS (SELECT query_id, term, CASE WHEN term IN ({_RARE}) THEN true WHEN term IN ({_WEAK}) THEN false WHEN len(term) >= 6 THEN true ELSE coalesce(df <= (SELECT count(*) FROM documents) * 0.0075, false) END AS rare,
+      term IN ({_WEAK}) AS weak FROM l LEFT JOIN f ON f.token = l.term WHERE term NOT IN ({_STOPS})),
+h AS (SELECT query_id, doc_id, count(*) AS hits, bool_or(rare) AS rare FROM k JOIN p ON p.token = k.term WHERE NOT weak GROUP BY ALL HAVING count(*) >= 2 OR bool_or(rare)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rare DESC, hits DESC, doc_id) AS place FROM h)
+"""
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = _table(spark, sf_dir, "documents")
+    posted = index.latin_postings(documents, "doc_id", "text")
+    terms = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(local_terms(F.col("text")))).alias("term"))
+    return retrieve.term_classes(terms, index.document_frequencies(posted), documents.count()), posted
+
+
+@_query(_CLASSES + "SELECT query_id, doc_id, hits, rare, place::INT AS place FROM r WHERE place <= 150")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.keyword_hits(*_classes(spark, sf_dir))
+
+
+_SCORES = _CLASSES + f""", e AS (SELECT r.query_id, r.doc_id, d.lang, sum(CASE WHEN k.rare THEN 25.0 WHEN term IN ({_GENERIC}) THEN 1.0 WHEN NOT weak THEN 3.0 ELSE 0.1 END::DOUBLE) AS raw, bool_or(k.rare) AS has_rare, count(*) FILTER (NOT weak) AS terms
+      FROM r JOIN documents d USING (doc_id) JOIN k ON k.query_id = r.query_id AND contains(lower(d.text), k.term) WHERE place <= 150 GROUP BY ALL),
+g AS (SELECT query_id, doc_id, lang, round(CASE WHEN has_rare THEN raw ELSE raw * 0.25 END, 6) AS score FROM e WHERE terms >= 2 OR has_rare)
+"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes, posted = _classes(spark, sf_dir)
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "lang", F.lower("text").alias("body"), F.lit(None).cast("string").alias("commentary"), F.lit(0.0).alias("bonus"))
+    scored = retrieve.weighted_scores(retrieve.keyword_hits(classes, posted), classes, documents)
+    return scored.join(documents.select("doc_id", "lang"), "doc_id").select("query_id", "doc_id", "lang", F.round("score", 6).alias("score"))
+
+
+@_query(_SCORES + "SELECT query_id, doc_id, score FROM g")
+def weighted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir).drop("lang")
+
+
+_TOP = _SCORES + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS place FROM g)
+"""
+
+
+@_query(_TOP + "SELECT query_id, doc_id, lang, score, place::INT AS place FROM o WHERE (lang = 'en' AND place <= 4) OR (lang = 'fr' AND place <= 2)")
+def two_group_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.two_group_top(_scores(spark, sf_dir), "lang", {"en": 4, "fr": 2})
+
+
+@_query(_TOP + """, c AS (SELECT query_id, doc_id, score, max(score) OVER (PARTITION BY query_id) AS top FROM o WHERE (lang = 'en' AND place <= 4) OR (lang = 'fr' AND place <= 2)),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score >= 0.6 * top)
+SELECT query_id, doc_id, score, rank::INT AS place FROM x WHERE rank <= 6""")
+def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.relevance_gate(two_group_topk(spark, sf_dir).drop("place", "lang").withColumn("concepts", F.lit(0))).drop("concepts")
+
+
+def _gradings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two gradings of each labelled document."""
+    rows = _table(spark, sf_dir, "labels")
+    quality = F.when(F.col("quality") == 1, "Sahih Lighairihi").otherwise("Very Daif")
+    toxic = F.when(F.col("toxic") == 1, "Mawdu").otherwise("Hasan Sahih")
+    one = F.struct(F.lit("quality").alias("grader"), quality.alias("grade"))
+    two = F.struct(F.lit("toxic").alias("grader"), toxic.alias("grade"))
+    return rows.select("doc_id", F.explode(F.array(one, two)).alias("g")).select("doc_id", "g.grader", "g.grade")
+
+
+_GRADES = """WITH g AS (SELECT doc_id, 'quality' AS grader, CASE WHEN quality = 1 THEN 'صحيح' ELSE 'ضعيف' END AS family, CASE WHEN quality = 1 THEN 'صحيح' ELSE 'ضعيف' END AS loose FROM labels
+UNION ALL SELECT doc_id, 'toxic', CASE WHEN toxic = 1 THEN 'موضوع' ELSE 'حسن' END, CASE WHEN toxic = 1 THEN 'neutral' ELSE 'صحيح' END FROM labels)
+"""
+
+
+@_query(_GRADES + "SELECT doc_id, grader, family, loose FROM g")
+def grade_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = grades.parse_grade(F.col("grader"), F.col("grade"))
+    return _gradings(spark, sf_dir).select("doc_id", "grader", parsed["family"].alias("family"), grades.loose_family(F.col("grade")).alias("loose"))
+
+
+@_query(_GRADES + "SELECT a.doc_id, 2::BIGINT AS families FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.grader < b.grader WHERE a.family <> b.family AND a.family <> 'neutral' AND b.family <> 'neutral'")
+def grade_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalkit.disagreements(grade_families(spark, sf_dir), "doc_id", "grader", "family")
+
+
+_MARKS = [m for m in retrieval.RULING_MARKS if m.isascii()]
+
+
+@_query(f"""SELECT p_partkey, CASE WHEN p_size % 5 = 0 OR p_retailprice / 70 < 15 THEN 'unclear' WHEN len(list_filter({_MARKS}, lambda m: contains(lower(p_name), m))) > 0 THEN 'permissibility'
+WHEN p_size / 50.0 < 0.40 THEN 'unclear' WHEN p_size / 50.0 < 0.70 OR (p_size * 7) % 50 / 50.0 < 0.50 THEN 'permissibility' ELSE 'supported' END AS verdict FROM part""")
+def verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    out = retrieve.verdict(size % 5, F.col("p_retailprice") / 70, F.col("p_name"), size / F.lit(50.0), (size * 7) % 50 / F.lit(50.0))
+    return _table(spark, sf_dir, "part").select("p_partkey", out.alias("verdict"))
+
+
+@_query("""SELECT event_type, date_trunc('hour', ts::TIMESTAMP - INTERVAL 8 HOUR) AS hour, count(*) AS used, greatest(0, 16 - count(*))::BIGINT AS remaining FROM events GROUP BY ALL""")
+def hourly_budget_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quota.hourly_usage(_table(spark, sf_dir, "events"), "event_type", "ts", F.lit(quota.hourly_budget(500)))
+    return out.select("event_type", "hour", "used", F.col("remaining").cast("bigint").alias("remaining"))
+
+
+@_query()
+def minute_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return quota.limited_requests(log, "user_id", "ts", "event_id", quota.client_cap({"a": 16, "b": 16, "c": 480})).select("event_id", "user_id", "allowed", "reason")
+
+
+@_query("""WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', ts::TIMESTAMP - INTERVAL 8 HOUR) ORDER BY ts, event_id) AS k FROM events)
+SELECT event_id, CASE WHEN k <= 4 THEN 'first' WHEN k <= 8 THEN 'second' WHEN k <= 20 THEN 'third' END AS model FROM n""")
+def model_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.acquire_models(_table(spark, sf_dir, "events").select("event_id", "ts"), "ts", "event_id", {"first": 4, "second": 4, "third": 12}).select("event_id", "model")
+
+
+@_query("""SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type""")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95")
+    )
+
+
+@_query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT event_type, value AS p95 FROM r WHERE k = least(n - 1, floor(n * 0.95))""")
+def floor_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalkit.floor_percentile(_table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", 0.95)
+
+
+@_query(f"""WITH d0 AS (SELECT doc_id, {_words(_norm("text"))} AS w FROM documents),
+q AS (SELECT doc_id AS query_id, w[st + 1:st + 12] AS w FROM (SELECT *, least(len(w) - 12, floor(len(w) * 0.45)::INT) AS st FROM d0 WHERE len(w) >= 12)),
+qg AS (SELECT DISTINCT query_id, unnest(list_transform(range(1, 12), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM q),
+dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM d0),
+c AS (SELECT query_id, doc_id, count(*) AS n FROM qg JOIN dg USING (bigram) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, doc_id) AS place FROM c)
+SELECT query_id, bool_or(doc_id = query_id) AS found FROM r WHERE place <= 12 GROUP BY query_id""")
+def self_retrieval_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _documents(spark, sf_dir).select("record_id", "full")
+    rows = documents.select(F.col("record_id").alias("query_id"), F.array_join("full", " ").alias("text"))
+    queries = evalkit.slice_cases(rows, "query_id", "text").select("query_id", words(F.col("query")).alias("full"), words(F.col("query")).alias("matn"))
+    found = record_match.candidates(queries, index.record_bigrams(documents, ["record_id"], F.col("full")))
+    return found.groupBy("query_id").agg(F.bool_or(F.col("record_id") == F.col("query_id")).alias("found"))
+
+
+@_query("""SELECT p_partkey, levenshtein(a, b)::INT AS distance, CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(len(a), len(b)) END AS similarity, levenshtein(a, b) <= 1 AS close,
+CASE WHEN a = b THEN 1.0 WHEN abs(len(a) - len(b)) > 2 THEN 0.0 WHEN 1 - levenshtein(a, b)::DOUBLE / greatest(len(a), len(b)) >= 0.85 THEN 0.9 WHEN 1 - levenshtein(a, b)::DOUBLE / greatest(len(a), len(b)) >= 0.7 THEN 0.7 ELSE 0.0 END::DOUBLE AS band
+FROM (SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b FROM part)""")
+def word_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select(
+        "p_partkey", similarity.edit_distance(a, b).alias("distance"), similarity.edit_similarity(a, b).alias("similarity"), similarity.at_most_one_edit(a, b).alias("close"), similarity.english_similarity(a, b).alias("band")
+    )
+
+
+@_query("""SELECT source, count(*) AS cases, avg(quality::DOUBLE) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY source""")
+def pass_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return evalkit.pass_rates(rows.select("source", F.col("quality").alias("passed")), "source")
+
+
+@_query("""SELECT lang, count(*) AS n, sum(len(text) * 2)::BIGINT AS bytes FROM documents GROUP BY lang""")
+def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text") * 2).alias("bytes"))
+
 
+@_query("""SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[.!?,:;\\-—"'')\\]]$')""")
+def unpunctuated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalkit.unpunctuated(_table(spark, sf_dir, "documents"), "text").select("doc_id")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"phrase_containment": phrase_containment}
 
-ORACLES: dict[str, str] = {
-    "phrase_containment": "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-}
+@_query("""WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
+SELECT u.conv_id, u.text, a.text AS text_other FROM u LEFT JOIN a USING (conv_id, k)""")
+def zip_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    sides = [rows.where(F.col("role") == r).select("conv_id", "turn", "text") for r in ("user", "assistant")]
+    return index.zip_by_place(sides[0], sides[1], "conv_id", "turn").select("conv_id", "text", "text_other")
