@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
-from wordloom.llm.store import written
+from wordloom.llm.store import unused, written
 
 WINDOW_WORDS = 10
 #: Benchmark text that is sent to the executors at once.
@@ -217,5 +217,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The documents without those that hold a benchmark window, columns unchanged."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")

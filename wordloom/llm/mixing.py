@@ -145,7 +145,7 @@ def shard_counts(sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: in
             need -= int(counts.sum())
         out.append(got)
         owed = owed - got
-    return np.array(out).reshape(-1, len(sources))
+    return np.array(out, dtype=np.int64).reshape(len(out), len(sources))
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
 from wordloom.llm.components import connected
-from wordloom.llm.store import limited, written
+from wordloom.llm.store import limited, unused, written
 
 SHINGLE_WORDS = 5
 BANDS = 32
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
     resolved = classes.join(component, classes.class_id == component.id, "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "class_id").alias("linked"))
     out = found.drop("bands").join(resolved, ["set_a", "set_b", "n_shingles"], "left")
-    component_id = F.when(F.col("n_shingles") > 0, F.col("linked")).otherwise(F.col("doc_id")).alias("component_id")
+    component_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("linked")).otherwise(F.col("doc_id")).alias("component_id")
     return out.select("doc_id", "n_shingles", component_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -208,9 +208,9 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, percent: int, k: int) -> DataF
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, its columns unchanged; rows with a null doc_id stay."""
-    near = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    key = docs["doc_id"].cast("long")
-    kept = docs.join(limited(written(near, "near-kept")), key == F.col("_kept"), "left_semi")
+    name = unused(docs, "kept_id")
+    near = near_duplicates(docs, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(limited(written(near, "near-kept")), docs["doc_id"].cast("long") == F.col(name), "left_semi")
     # Rows are shuffled by doc_id only if some of them share one.
     if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
-from wordloom.llm.store import limited, written
+from wordloom.llm.store import limited, unused, written
 
 WINDOW = 50
 PHRASE = 10
@@ -211,14 +211,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     return whole.union(single)
 
 
-def _removed(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """The documents with their repeated runs of windows, as an array; null where there is none."""
-    spans = repeated_spans(docs, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("_runs"))
-    spans = written(spans.withColumnRenamed("doc_id", "_of"), "phrase-runs")
-    ids, key = limited(spans.select("_of")), docs["doc_id"].cast("long")
+def _removed(docs: DataFrame, window: int, phrase: int) -> tuple[DataFrame, str]:
+    """The documents with their repeated runs of windows as one more column (null where there is none), and its name."""
+    of, runs = unused(docs, "run_id"), unused(docs, "runs")
+    spans = repeated_spans(docs, window, phrase).groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias(runs))
+    spans = written(spans.withColumnRenamed("doc_id", of), "phrase-runs")
+    ids, key = limited(spans.select(of)), docs["doc_id"].cast("long")
     # Texts that lose nothing are not shuffled with those that do.
-    same = docs.join(ids, key == F.col("_of"), "left_anti").withColumn("_runs", F.lit(None).cast(spans.schema["_runs"].dataType))
-    return docs.join(ids, key == F.col("_of"), "left_semi").join(spans, key == F.col("_of")).drop("_of").unionByName(same)
+    same = docs.join(ids, key == F.col(of), "left_anti").withColumn(runs, F.lit(None).cast(spans.schema[runs].dataType))
+    return docs.join(ids, key == F.col(of), "left_semi").join(spans, key == F.col(of)).drop(of).unionByName(same), runs
 
 
 def _cover(n_words: int, runs: pa.Scalar, window: int) -> np.ndarray:
@@ -235,10 +236,10 @@ def _cover(n_words: int, runs: pa.Scalar, window: int) -> np.ndarray:
     return np.cumsum(depth[:-1]) == 0
 
 
-def _kept_words(part: pa.RecordBatch, window: int) -> Iterator[tuple[int, int, bytes]]:
+def _kept_words(part: pa.RecordBatch, name: str, window: int) -> Iterator[tuple[int, int, bytes]]:
     words = W.split(part.column("text"))
     data = words.data.tobytes()
-    for i, runs in enumerate(part.column("_runs")):
+    for i, runs in enumerate(part.column(name)):
         a, b = words.offsets[i], words.offsets[i + 1]
         stay = _cover(int(b - a), runs, window)
         kept = [data[s:e] for s, e in zip(words.starts[a:b][stay].tolist(), words.ends[a:b][stay].tolist(), strict=True)]
@@ -251,12 +252,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
-                rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept_words(part, window)]
+                rows = [(n, gone, hashlib.sha256(kept).hexdigest()) for n, gone, kept in _kept_words(part, runs, window)]
                 n, gone, digest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _removed(plain, window, phrase).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    rows, runs = _removed(plain, window, phrase)
+    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -270,7 +272,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
         for batch in batches:
             for part in W.slices(batch):
                 texts, stays = part.column("text").to_pylist(), []
-                for i, (n, gone, kept) in enumerate(_kept_words(part, window)):
+                for i, (n, gone, kept) in enumerate(_kept_words(part, runs, window)):
                     texts[i] = kept.decode() if gone else texts[i]
                     stays.append(gone < n or not gone)
                 at = part.schema.get_field_index("text")
@@ -278,4 +280,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) ->
                 yield out.filter(pa.array(stays, pa.bool_())).select(names)
 
     names = docs.columns
-    return _removed(docs, window, phrase).mapInArrow(run, docs.schema)
+    rows, runs = _removed(docs, window, phrase)
+    return rows.mapInArrow(run, docs.schema)

@@ -16,6 +16,16 @@ def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_FOLDER}"
 
 
+#: Bytes of one Arrow batch between the JVM and Python, so that long texts need no more memory than short ones.
+ARROW_BYTES = 4 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Bounds the session's Arrow batches by bytes; their default bound is for short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
@@ -35,3 +45,10 @@ def limited(written_ids: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a written table of ids for broadcast if its counted size allows it."""
     return F.broadcast(written_ids) if written_ids.count() <= rows else written_ids
 
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
