@@ -159,12 +159,16 @@ def fold_for_index(text: Column) -> Column:
 
 def strip_prefix(word: Column) -> Column:
     """Takes one light prefix off a normalised word; not idempotent."""
-    out = word
-    for prefix in reversed(vocab.SHORT_PREFIXES):
-        out = F.when(word.startswith(prefix) & (F.length(word) > 3), F.substring(word, F.lit(2), F.length(word))).otherwise(out)
-    for prefix, least in reversed(vocab.LONG_PREFIXES):
-        out = F.when(word.startswith(prefix) & (F.length(word) > least), F.substring(word, F.lit(len(prefix) + 1), F.length(word))).otherwise(out)
-    return out
+
+    def of(w: Column) -> Column:
+        out = w
+        for prefix in reversed(vocab.SHORT_PREFIXES):
+            out = F.when(w.startswith(prefix) & (F.length(w) > 3), F.substring(w, F.lit(2), F.length(w))).otherwise(out)
+        for prefix, least in reversed(vocab.LONG_PREFIXES):
+            out = F.when(w.startswith(prefix) & (F.length(w) > least), F.substring(w, F.lit(len(prefix) + 1), F.length(w))).otherwise(out)
+        return out
+
+    return bound(word, of)
 
 
 def is_latin_only(text: Column) -> Column:

@@ -104,7 +104,8 @@ def expand_terms(terms: Column) -> Column:
     def of(t: Column) -> Column:
         added = []
         for triggers, more in retrieval.EXPANSIONS:
-            hit = F.exists(t, lambda x, w=triggers: F.lower(x).rlike("|".join(w)))
+            pattern = "|".join(triggers)
+            hit = F.exists(t, lambda x: F.lower(x).rlike(pattern))  # noqa: B023
             added.append(F.when(hit, F.array(*[F.lit(m) for m in more])).otherwise(F.array().cast("array<string>")))
         return F.concat(t, *added)
 

@@ -46,7 +46,7 @@ def limited_requests(log: DataFrame, client: str, ts: str, order: str, cap: int,
     Local clients are always allowed.  A client's requests stream through one
     state, so that a busy client needs little memory.
     """
-    rows = log.withColumn("_ms", F.unix_millis(ts)).withColumn("_hour", F.unix_millis(hour_key(F.col(ts), zone)))
+    rows = log.withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp"))).withColumn("_hour", F.unix_millis(hour_key(F.col(ts), zone).cast("timestamp")))
     local = F.col(client).cast("string").isin(LOCAL)
     ordered = rows.withColumn("_local", F.coalesce(local, F.lit(False))).repartition(client).sortWithinPartitions(client, ts, order)
     names = [*log.columns, "allowed", "reason"]

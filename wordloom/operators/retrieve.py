@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wordloom.functions.core import bound
 from wordloom.functions.normalize import normalize_arabic, strip_prefix
 from wordloom.functions.similarity import in_set
 from wordloom.functions.tokens import content_tokens
@@ -33,14 +34,16 @@ def is_weak(term: Column, weak: list[str] = retrieval.WEAK_TERMS) -> Column:
 
 def is_rare(term: Column, df: Column, documents: Column, rare: list[str] = retrieval.RARE_TERMS, weak: list[str] = retrieval.WEAK_TERMS) -> Column:
     """Whether a term tells documents apart: listed, long, or in few documents (0.75 %); never a weak one."""
-    norm = _plain(term)
-    return F.when(term.isin(rare) | norm.isin(rare), True).when(is_weak(norm, weak), False).when(F.length(norm) >= LONG_TERM, True).otherwise(F.coalesce(df <= documents * F.lit(RARE_SHARE), F.lit(False)))
+    few = F.coalesce(df <= documents * F.lit(RARE_SHARE), F.lit(False))
+    return bound(_plain(term), lambda n: F.when(term.isin(rare) | n.isin(rare), True).when(is_weak(n, weak), False).when(F.length(n) >= LONG_TERM, True).otherwise(few))
 
 
 def term_classes(terms: DataFrame, frequencies: DataFrame, documents: int) -> DataFrame:
     """Adds df, rare, weak and weight to query_id, term."""
-    out = terms.join(frequencies.withColumnRenamed("token", "term"), "term", "left")
-    out = out.withColumn("rare", is_rare(F.col("term"), F.col("df"), F.lit(documents))).withColumn("weak", is_weak(F.col("term")))
+    # Terms are judged once each, however many queries share them.
+    judged = terms.select("term").distinct().join(frequencies.withColumnRenamed("token", "term"), "term", "left")
+    judged = judged.withColumn("rare", is_rare(F.col("term"), F.col("df"), F.lit(documents))).withColumn("weak", is_weak(F.col("term")))
+    out = terms.join(judged, "term")
     weight = F.when(F.col("rare"), F.lit(RARE)).when(F.col("term").isin(retrieval.GENERIC_TERMS), F.lit(GENERIC)).when(~F.col("weak"), F.lit(NORMAL)).otherwise(F.lit(WEAK))
     return out.withColumn("weight", weight)
 
@@ -93,7 +96,7 @@ def concepts_shared(question: Column, terms: Column, document: Column, clusters:
     total = F.lit(0)
     for cluster in clusters:
         words = F.array(*[F.lit(w) for w in cluster])
-        in_question = F.exists(words, lambda w: F.contains(asked, w) | F.exists(terms, lambda t, w=w: F.contains(F.lower(t), w)))
+        in_question = F.exists(words, lambda w: F.contains(asked, w) | F.exists(terms, lambda t: F.contains(F.lower(t), w)))
         in_document = F.exists(words, lambda w: F.contains(text, F.lower(normalize_arabic(w))))
         total = total + (in_question & in_document).cast("int")
     return total

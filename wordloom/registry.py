@@ -139,7 +139,7 @@ def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def greedy_in_order_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    records = _table(spark, sf_dir, "conversations").select(F.concat_ws("_", "conv_id", "turn").alias("record_id"), F.col("role").alias("collection"), F.col("conv_id").alias("number"), "text")
+    records = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("collection"), F.col("doc_id").alias("number"), "text")
     return search.scan_records(queries, records).select("query_id", "record_id", "confidence", "state")
 
 
@@ -250,9 +250,17 @@ def highlight_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(spark, sf_dir).select("query_id", "record_id", lcs_length(F.col("ask"), part).alias("lcs"))
 
 
-@_query()
+@_query(f"""WITH r AS (SELECT doc_id AS id, {_words(_norm("text"))} AS w FROM documents),
+h AS (SELECT DISTINCT id AS target, len(w) AS n, unnest(list_transform(range(1, least(len(w), 9)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM r WHERE len(w) >= 3),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigram FROM r WHERE len(w) >= 3),
+c AS (SELECT target, id, n, count(*) AS shared FROM h JOIN g USING (bigram) WHERE target <> id GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY shared DESC, id) AS place FROM c WHERE n <= 4 OR shared >= CASE WHEN n <= 10 THEN 2 ELSE greatest(2, floor(n * 0.15)) END),
+m AS (SELECT target, k.id, shared, CASE WHEN len(t.w) <= len(r.w) THEN t.w ELSE r.w END AS q, CASE WHEN len(t.w) <= len(r.w) THEN r.w ELSE t.w END AS s FROM k JOIN r ON r.id = k.id JOIN r t ON t.id = k.target WHERE place <= 20),
+x AS (SELECT target, id, shared, list_max(list_transform(range(0, len(s) - len(q) + 1), lambda j: floor(list_sum(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN q[i] = s[i + j] THEN 1.0::DOUBLE
+  WHEN 1 - levenshtein(q[i], s[i + j])::DOUBLE / greatest(len(q[i]), len(s[i + j])) >= 0.70 THEN 1 - levenshtein(q[i], s[i + j])::DOUBLE / greatest(len(q[i]), len(s[i + j])) ELSE 0.0 END)) / len(q) * 100 + 0.5))) / 100.0 AS ratio FROM m)
+SELECT target, id AS record_id, shared, ratio::DOUBLE AS ratio FROM x WHERE ratio >= 0.80""")
 def attestation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("record_id"), _english_words().alias("matn"))
+    rows = _documents(spark, sf_dir).select("record_id", "matn")
     return record_match.attestations(rows, rows).select("target", "record_id", "shared", "ratio")
 
 

@@ -21,7 +21,7 @@ def limited_stream(requests: DataFrame, client: str, ts: str, order: str, cap: i
     within a micro-batch requests are taken in order of time.
     """
     rows = requests.withWatermark(ts, late).select(
-        F.col(client).cast("string").alias("client"), F.col(order).alias("request"), F.col(ts).alias("ts"), F.unix_millis(ts).alias("ms"), F.unix_millis(hour_key(F.col(ts), zone)).alias("hour")
+        F.col(client).cast("string").alias("client"), F.col(order).alias("request"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.unix_millis(hour_key(F.col(ts), zone).cast("timestamp")).alias("hour")
     )
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
