@@ -188,3 +188,17 @@ def test_evaluation(spark):
     assert evalkit.mutated_cases(spark.createDataFrame([(1, "one two three")], "k int, t string"), "k", "t").first().query != "one two three"
     posted = index.postings(spark.createDataFrame([(1, "الكتاب", "the book", None)], "doc_id int, arabic string, english string, commentary string"))
     assert {r.token for r in posted.collect()} == {"الكتاب", "كتاب", "the", "book"}
+
+
+def test_envelopes_and_external(spark):
+    from wordloom.plans.search import envelopes
+
+    queries = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, []), (4, ["x", "y", "z"])], "query_id int, words array<string>")
+    matches = spark.createDataFrame([(1, 100, "matched"), (1, 89, "close_match"), (4, 75, "close_match")], "query_id int, confidence int, state string")
+    found = {r.query_id: (r.state, r.top_confidence, r.total_matches, r.referral) for r in envelopes(queries, matches).collect()}
+    assert found == {1: ("matched", 100, 2, False), 2: ("too_short", 0, 0, True), 3: ("not_found", 0, 0, True), 4: ("close_match", 75, 1, False)}
+    items = spark.createDataFrame([(1, 7, 0, "abc", "xx abc", "t", "authentic"), (1, 8, 1, "abc", "zzz", "t", "weak")], "query_id int, id int, seq int, query string, text string, attribution string, grade string")
+    rows = {r.record_id: (r.confidence, r.state, r.family) for r in corpus.external_records(items).collect()}
+    assert rows == {"external_7": (100, "matched", "صحيح"), "external_8": (70, "close_match", "ضعيف")}
+    cards = corpus.external_cards(items)
+    assert retrieve.append_external(cards.where("seq = 0").drop("seq"), cards).count() == 2

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from wordloom.functions.grades import external_family
+from wordloom.functions.similarity import phrase_confidence
+
 VERSE = T.StructType([T.StructField("chapter", T.IntegerType()), T.StructField("verse", T.IntegerType()), T.StructField("text", T.StringType())])
 GRADE = T.StructType([T.StructField("name", T.StringType()), T.StructField("grade", T.StringType())])
 RECORD = T.StructType([
@@ -99,3 +102,17 @@ def external_items(items: DataFrame, details: DataFrame, most: int = 3) -> DataF
     """The source's first ``most`` items per query with their details; items without details go."""
     first = Window.partitionBy("query_id").orderBy("seq")
     return items.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).drop("rank").join(details, "id")
+
+
+def external_records(items: DataFrame) -> DataFrame:
+    """External items (query_id, id, query, title, text, attribution, grade) as matches of records."""
+    score = phrase_confidence(F.col("query"), F.col("text"))
+    return items.select(
+        "query_id", F.concat(F.lit("external_"), F.col("id").cast("string")).alias("record_id"), "text", score.alias("confidence"),
+        F.when(score >= 90, F.lit("matched")).otherwise(F.lit("close_match")).alias("state"), "attribution", F.col("grade"), external_family(F.col("grade")).alias("family"),
+    )
+
+
+def external_cards(items: DataFrame, score: float = 25.0) -> DataFrame:
+    """External items as evidence cards with a fixed score."""
+    return items.select("query_id", F.concat(F.lit("external_"), F.col("id").cast("string")).alias("doc_id"), F.col("text"), F.col("seq"), F.lit(score).alias("score"))
