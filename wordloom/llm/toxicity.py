@@ -100,10 +100,12 @@ def fit_linear(rows: Rows, y: np.ndarray, seed: int = 7) -> Linear:
         return model
     model.bias = float(np.log(share / (1 - share)))
     seen = np.bincount(rows.buckets, minlength=BUCKETS)
-    hits = np.bincount(rows.buckets, weights=np.repeat(y, np.diff(rows.offsets)), minlength=BUCKETS)
+    positive = rows.take(np.flatnonzero(y > 0))
+    hits = np.bincount(positive.buckets, minlength=BUCKETS)
+    del positive
     strength = np.abs(hits - seen * share) / np.sqrt(np.maximum(seen, 1) * share * (1 - share))
     known = np.flatnonzero((seen >= LEAST_ROWS) & (strength >= LEAST_STRENGTH))
-    index = np.full(BUCKETS, -1, dtype=np.int64)
+    index = np.full(BUCKETS, -1, dtype=np.int32)
     index[known] = np.arange(len(known))
     # Only the inputs that stay, so that an epoch costs little.
     at = index[rows.buckets]
@@ -151,7 +153,7 @@ def fit_chain(buckets: np.ndarray, offsets: np.ndarray, labels: np.ndarray, cate
     for c in range(len(categories)):
         rows, y = Rows(buckets, offsets, earlier), labels[:, c]
         known = ~np.isnan(y)
-        models.append(fit_linear(rows.take(np.flatnonzero(known)), y[known]))
+        models.append(fit_linear(rows if known.all() else rows.take(np.flatnonzero(known)), y[known]))
         if c + 1 < len(categories):
             out = np.zeros(n)
             for f in range(FOLDS):
@@ -176,15 +178,27 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
                 values, offsets = word_buckets(W.split(part.column("text"), W.ALNUM_LOWER))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), W.grouped(values.astype(np.int32), offsets, pa.int32()), *[part.column(c) for c in names]], names=["doc_id", "buckets", *names])
 
-    found = rows.mapInArrow(run, "doc_id long, buckets array<int>, " + ", ".join(f"{c} double" for c in names)).toArrow().combine_chunks()
-    found = found.sort_by("doc_id")
-    if not found.num_rows:
-        return fit_chain(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, len(names))), names)
-    lists = found.column("buckets").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    buckets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    marked = np.column_stack([found.column(c).to_numpy().astype(float) for c in names])
-    return fit_chain(buckets, np.concatenate([[0], np.cumsum(sizes)]), marked, names)
+    table = rows.mapInArrow(run, "doc_id long, buckets array<int>, " + ", ".join(f"{c} double" for c in names)).toArrow()
+    # Buckets of too few rows enter no model: they go before anything is copied.
+    chunks = [(c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())) for c in table.column("buckets").chunks]
+    seen = sum((np.bincount(b, minlength=BUCKETS) for b, _ in chunks), np.zeros(BUCKETS, dtype=np.int64))
+    parts, sizes = [], []
+    for b, n in chunks:
+        keep = seen[b] >= LEAST_ROWS
+        ends = np.concatenate([[0], np.cumsum(keep)])
+        parts.append(b[keep])
+        sizes.append(np.diff(ends[np.concatenate([[0], np.cumsum(n)])]))
+    ids = table.column("doc_id").to_numpy()
+    marked = np.column_stack([table.column(c).to_numpy().astype(float) for c in names])
+    del table, chunks
+    if not len(ids):
+        return fit_chain(np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros((0, len(names))), names)
+    gathered = Rows(np.concatenate(parts), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.zeros((len(ids), 0)))
+    del parts
+    # In order of doc_id, so that folds and batches are the same in every run.
+    order = np.argsort(ids, kind="stable")
+    gathered = gathered.take(order)
+    return fit_chain(gathered.buckets, gathered.offsets, marked[order], names)
 
 
 def toxicity(docs: DataFrame, chain: Chain, flag: str, threshold: float = THRESHOLD) -> DataFrame:
