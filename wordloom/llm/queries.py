@@ -16,6 +16,7 @@ from wordloom.llm.licenses import scan
 from wordloom.llm.mixing import mix, taken
 from wordloom.llm.near_dedup import near_duplicates
 from wordloom.llm.phrase_dedup import substring_dedup
+from wordloom.llm.store import prepared
 from wordloom.llm.toxicity import toxicity, train
 from wordloom.llm.url_filter import filtered
 
@@ -24,7 +25,7 @@ CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
