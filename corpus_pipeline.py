@@ -22,26 +22,31 @@ from wordloom.llm.language import fit, identified
 from wordloom.llm.mixing import mix, taken
 from wordloom.llm.near_dedup import one_of_each
 from wordloom.llm.phrase_dedup import deduplicated
-from wordloom.llm.store import written
+from wordloom.llm.store import prepared, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return identified(docs, fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return deduplicated(docs).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return taken(mix(docs)).where("taken > 0").select("doc_id", "source", "size", "source_size", F.col("target"), "taken")
 
 
