@@ -39,6 +39,9 @@ PART_BYTES = 16 << 20
 #: Words a training suffix must share with some test suffix to enter the array.
 GRAM = 3
 
+#: Text of one shard.
+SHARD_BYTES = 3 << 20
+
 _MATCH = "doc_id long, doc_start int, item_id long, item_start int, n_words int"
 _HITS = "doc_id long, text string, n_words long, spans array<struct<begin:int,end:int>>, items array<long>"
 
@@ -128,7 +131,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_
 
         def run(batches: Iterator[pa.RecordBatch], tests: TestSuffixes = tests) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in W.slices(batch):
+                for part in W.slices(batch, limit=SHARD_BYTES):
                     array, rows, ids = SuffixArray(W.split(part.column("text"), W.ALNUM_LOWER), tests), [], part.column("doc_id").to_pylist()
                     # By item and diagonal, where the last match ended: a later suffix on it is a part of that match.
                     ends: dict[tuple[int, int], int] = {}
@@ -166,7 +169,7 @@ def _hits(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, limit=SHARD_BYTES):
                 words = W.split(part.column("text"), W.ALNUM_LOWER)
                 array = SuffixArray(words, tests)
                 spans, items = part.column("spans").to_pylist(), [set(x) for x in part.column("items").to_pylist()]

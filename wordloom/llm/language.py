@@ -146,7 +146,7 @@ def _count_rows(docs: DataFrame, languages: list[str]) -> DataFrame:
         n = len(index)
         counts, scripts = np.zeros((3, n * BUCKETS), dtype=np.int64), np.zeros((n, 256), dtype=np.int64)
         for batch in batches:
-            for part in W.slices(batch):
+            for part in W.slices(batch, limit=1 << 19):
                 text = read(part.column("text"))
                 lang = np.array([index[x] for x in part.column("lang").to_pylist()], dtype=np.int64)
                 of_word = np.repeat(lang, np.diff(text.offsets))
@@ -272,7 +272,7 @@ def predictions(docs: DataFrame, model: Model, penalty: float = PENALTY) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, limit=1 << 20):
+            for part in W.slices(batch, limit=1 << 19):
                 names, shares, spans = _judge(shared.value, part.column("text"), penalty)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, _SPANS)], names=["doc_id", "lang_pred", "score", "spans"])
 
@@ -285,7 +285,7 @@ def identified(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in W.slices(batch, limit=1 << 20):
+            for part in W.slices(batch, limit=1 << 19):
                 found, _, _ = _judge(shared.value, part.column("text"), penalty)
                 yield part.filter(pa.array([x != UNDETERMINED for x in found], pa.bool_())).select(names)
 

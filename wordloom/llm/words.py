@@ -1,12 +1,13 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 Executors call these helpers inside ``mapInArrow``.  A batch is cut into slices
-of a few MB of text, every slice is processed with whole-array numpy calls, and
+of about 1 MB of text, every slice is processed with whole-array numpy calls, and
 no Python loop runs over words.  Words never cross a document's end.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 3 << 20
+#: Text that is processed at once.
+SLICE_BYTES = 1 << 20
+
+
+def _return_memory() -> None:
+    """Lets the C library give large arrays back when they are freed, so that idle workers stay small."""
+    try:
+        library = ctypes.CDLL(None)
+        library.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+        library.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        return
+
+
+_return_memory()
 _SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
