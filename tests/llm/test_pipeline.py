@@ -22,3 +22,11 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     assert {"doc_id", "taken", "target"} <= set(docs.columns)
+
+
+def test_near_copies_at_80_percent(spark):
+    words = [f"w{i}" for i in range(100)]
+    edits = {0: (), 1: (30, 60), 2: (20, 45, 70)}  # of 96 shingles: 86 of 106 stay (0.81), 81 of 111 (0.73)
+    rows = [(i, " ".join("x%d" % i if k in places else w for k, w in enumerate(words))) for i, places in edits.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in pipeline.near_dedup(spark, docs, SMALL).collect()) == [0, 2]
