@@ -176,6 +176,17 @@ def test_contamination(spark, docs, empty, part_bytes):
     assert contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 40])
+def test_decontaminated_judges_rows(spark, empty, part_bytes):
+    rows = [(None, "a leaked passage of the test"), (None, "clean words"), (None, None), (7, "one leaked passage of the test"), (7, "clean too"), (8, "another secret line here")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, bad_id string")
+    benchmark = spark.createDataFrame([(1, "leaked passage of the test"), (2, "another secret line")], "item_id long, text string")
+    out = decontaminated(docs, benchmark, part_bytes=part_bytes)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4]]))
+    assert decontaminated(empty, benchmark).count() == 0 and decontaminated(docs, benchmark.limit(0)).count() == len(rows)
+
+
 def test_mixing(docs, empty):
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 * 2 / 3, 250 / 3]) and mixing.targets([0, 10]) == [0, 15]
     for n in (1, 2, 3, 10, 257):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
-from wordloom.llm.store import unused, written
+from wordloom.llm.store import written
 
 WINDOW_WORDS = 10
 #: Benchmark text that is sent to the executors at once.
@@ -218,8 +218,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     return _digest(found)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+def _clean(docs: DataFrame, tests: TestSuffixes) -> DataFrame:
+    """The rows without a window of the part, each judged by its own text."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, limit=SHARD_BYTES):
+                array, keep = SuffixArray(W.split(part.column("text"), W.ALNUM_LOWER), tests), np.ones(part.num_rows, dtype=bool)
+                if array.keys:
+                    for key in tests.windows:
+                        for k in array.range_of(key):
+                            keep[array.document(array.places[k])[0]] = False
+                yield part.filter(pa.array(keep, pa.bool_())).select(names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """The documents without those that hold a benchmark window, columns unchanged."""
-    name = unused(docs, "bad_id")
-    bad = contamination(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+    for k, tests in enumerate(_parts(benchmark, window, part_bytes)):
+        docs = _clean(written(docs, "clean") if k else docs, tests)
+    return docs
