@@ -15,7 +15,7 @@ from wordloom.llm.fingerprint import fingerprints
 from wordloom.llm.near_dedup import near_duplicates, one_of_each
 from wordloom.llm.phrase_dedup import deduplicated, substring_dedup
 from wordloom.llm.toxicity import toxicity, train
-from wordloom.llm.url_filter import filtered
+from wordloom.llm.url_filter import filtered, matched, mined_rules
 
 UPPER = str.maketrans({chr(c + 32): chr(c) for c in range(65, 91)})
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -320,3 +320,32 @@ def test_urls(spark):
     assert found[4].rule == "com/" and found[5].verdict == "block" and found[6].rule == "net/es/" and found[7].rule is None and found[8].rule is None
     assert all(found[100 + i].verdict == ("block" if i % 2 else "allow") for i in range(60))
     assert filtered(pages.limit(0), labels).count() == 0 and filtered(pages, labels.limit(0)).where("rule is null and verdict = 'block'").count() == 0
+
+
+def test_urls_are_mined_whole(spark):
+    host = ".".join("abcdefghijklmn")
+    rows = [(i, f"https://{host}/x/{i}?q={i}&{'zz' if i % 2 else 'yy'}=1") for i in range(60)] + [(100, "https://other.org/?zz=2")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2 == 1) for i in range(40)], "doc_id long, blocked boolean")
+    found = {r.page_id: r for r in filtered(pages, labels).collect()}
+    assert all(found[i].verdict == ("block" if i % 2 else "allow") for i in range(60)) and found[100].mined_confidence == 1.0
+
+
+def test_mined_rules_are_exact(spark):
+    rng, token = random.Random(8), "abcdefghijkl"
+    sets = [sorted({t for t in token if rng.random() < 0.4} | ({"a", "b"} if k % 3 else set())) for k in range(120)]
+    sets = [sorted(set(s) - ({"a", "b"} if not {"a", "b"} <= set(s) else set())) for s in sets]  # a and b always meet
+    urls = [(s, ({"a", "k"} <= set(s) or {"d", "e"} <= set(s)) != (rng.random() < 0.1)) for s in sets]
+    n, bad = defaultdict(int), defaultdict(int)
+    for s, blocked in urls:
+        for bits in range(1, 1 << len(s)):
+            key = tuple(x for k, x in enumerate(s) if bits >> k & 1)
+            n[key] += 1
+            bad[key] += blocked
+    rules = {k: bad[k] / n[k] for k in n if bad[k] >= 12 and bad[k] >= 0.75 * n[k]}
+    least = {k: v for k, v in rules.items() if not any(k[:i] + k[i + 1 :] in rules for i in range(len(k)))}
+    asked = [sorted(x) for x in {frozenset(rng.sample(token, rng.randint(1, 6))) for _ in range(200)}]
+    want = {tuple(s): max(v) for s in asked if (v := [c for k, c in least.items() if set(k) <= set(s)])}
+    mined = mined_rules(spark.createDataFrame(urls, "tokens array<string>, blocked boolean"), support=0.1, confidence=0.75)
+    found = {tuple(r.tokens): r.confidence for r in matched(spark.createDataFrame([(s,) for s in asked], "tokens array<string>"), mined).collect()}
+    assert len(least) > 3 and any("a" in k for k in least) and any(len(k) > 1 for k in least) and found == pytest.approx(want)

@@ -12,8 +12,10 @@ subdomains, if the URL's path begins with its path; the longest wins.
 
 Scale: only urls are read, never pages; equal token sets are judged once; the
 rules are broadcast if their counted number allows it and else joined by token.
-Mining looks at ``MINED_TOKENS`` tokens a URL (a documented bound, for the number
-of combinations is exponential in it); matching looks at all.
+Mining takes whole token sets, exactly: tokens below the least support are in no
+rule, and tokens that occur in the very same labelled URLs are mined as one and
+stand for each other in the rules.  What remains grows with the number of
+combinations of frequent tokens that differ.
 
 Defined results: a null url, or one without "://", has an empty host and path and
 no tokens, so that only the default verdict "allow" is left; rows are judged one
@@ -23,6 +25,8 @@ URLs there are no mined rules; extra columns are ignored.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +39,6 @@ SUPPORT = 0.002
 CONFIDENCE = 0.6
 #: Labelled URLs that a rule needs at least, however few there are.
 LEAST_URLS = 10
-MINED_TOKENS = 10
 BLOCK = "label:block"
 
 
@@ -67,33 +70,47 @@ def tokens(url: Column) -> Column:
     return F.when(host != "", found).otherwise(F.array().cast("array<string>"))
 
 
-def mined_rules(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, mined: int = MINED_TOKENS) -> DataFrame:
-    """Rules "antecedent -> block" from columns tokens and blocked: antecedent, anchor, confidence, support."""
+def mined_rules(urls: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """Rules "antecedent -> block" from columns tokens and blocked: antecedent, anchor, confidence, support.
+
+    The antecedent is a list of groups of tokens; it needs one token of each.
+    """
     spark = urls.sparkSession
-    known = urls.where("blocked is not null and size(tokens) > 0")
-    few = F.slice(F.sort_array("tokens"), 1, mined)
-    baskets = written(known.select(F.when(F.col("blocked"), F.concat(few, F.array(F.lit(BLOCK)))).otherwise(few).alias("items")), "url-baskets")
-    empty = spark.createDataFrame([], "antecedent array<string>, anchor string, confidence double, support double")
-    n = baskets.count()
+    known = urls.where("blocked is not null and size(tokens) > 0").select("tokens", "blocked").withColumn("row", F.monotonically_increasing_id())
+    known = written(known, "url-known")
+    empty = spark.createDataFrame([], "antecedent array<array<string>>, anchor array<string>, confidence double, support double")
+    n = known.count()
     if n < LEAST_URLS:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST_URLS / n), minConfidence=confidence).fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK).select("antecedent", "confidence", "support")
-    rules = written(rules.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
+    least = max(LEAST_URLS, ceil(support * n))
+    # Tokens of the same rows: as many, with equal 128-bit hashes of the rows.
+    rows = known.select("row", F.explode("tokens").alias("token"))
+    same = rows.groupBy("token").agg(F.count("*").alias("freq"), F.bit_xor(F.xxhash64("row")).alias("_x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_y")).where(F.col("freq") >= least)
+    groups = written(same.groupBy("freq", "_x", "_y").agg(F.sort_array(F.collect_list("token")).alias("members")).select("freq", "members", F.col("members")[0].alias("token")), "url-groups")
+    baskets = rows.join(limited(groups.select("token"), 100_000), "token").groupBy("row").agg(F.collect_list("token").alias("items")).join(known.select("row", "blocked"), "row")
+    baskets = written(baskets.select(F.when(F.col("blocked"), F.concat("items", F.array(F.lit(BLOCK)))).otherwise(F.col("items")).alias("items")), "url-baskets")
+    filled = baskets.count()
+    if not filled:
+        return empty
+    # Support is counted in all labelled URLs, also those without a frequent token.
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / filled, minConfidence=confidence).fit(baskets)
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK).select(F.sort_array("antecedent").alias("antecedent"), "confidence")
+    rules = written(rules, "url-rules")
     # A rule is needless if one token less gives a rule too.
     shorter = rules.select(F.col("antecedent").alias("_less")).distinct()
     longer = rules.select("antecedent", F.explode(F.transform("antecedent", lambda t: F.array_remove(F.col("antecedent"), t))).alias("_less")).join(shorter, "_less", "left_semi").select("antecedent").distinct()
     rules = rules.join(longer, "antecedent", "left_anti")
-    counts = model.freqItemsets.where("size(items) = 1").select(F.element_at("items", 1).alias("token"), "freq")
-    ranked = rules.select("antecedent", "confidence", "support", F.explode("antecedent").alias("token")).join(counts, "token")
-    return ranked.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor")).select(*empty.columns)
+    ranked = rules.select(F.col("antecedent").alias("_rule"), "confidence", F.explode("antecedent").alias("token")).join(groups, "token").groupBy("_rule", "confidence")
+    out = ranked.agg(F.collect_list("members").alias("antecedent"), F.min_by("members", F.struct("freq", "token")).alias("anchor"))
+    counts = model.freqItemsets.where(F.array_contains("items", BLOCK)).select(F.sort_array(F.array_remove("items", BLOCK)).alias("_rule"), (F.col("freq") / n).alias("support"))
+    return out.join(counts, "_rule").select(*empty.columns)
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The token sets that some rule fits, with the best rule's confidence, by the inverted index."""
-    index = rules.select(F.col("anchor").alias("token"), "antecedent", "confidence")
+    index = rules.select(F.explode("anchor").alias("token"), "antecedent", "confidence")
     hits = sets.select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return hits.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
+    return hits.where(F.forall("antecedent", lambda g: F.arrays_overlap(g, F.col("tokens")))).groupBy("tokens").agg(F.max("confidence").alias("confidence"))
 
 
 def listed(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
