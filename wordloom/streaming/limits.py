@@ -14,14 +14,15 @@ from wordloom.operators.quota import LOCAL, MINUTE_LIMIT, MINUTE_MS, ZONE, hour_
 _STATE = "hour long, count long, start long, minute long"
 
 
-def limited_stream(requests: DataFrame, client: str, ts: str, order: str, cap: int, late: str = "1 hour", zone: str = ZONE) -> DataFrame:
+def limited_stream(requests: DataFrame, client: str, ts: str, order: str, cap: int, late: str = "1 hour", zone: str = ZONE, success: str | None = None) -> DataFrame:
     """The streaming form of ``limited_requests``: client, order, allowed, reason.
 
     State per client is four numbers and goes two hours after its last request;
     within a micro-batch requests are taken in order of time.
     """
     rows = requests.withWatermark(ts, late).select(
-        F.col(client).cast("string").alias("client"), F.col(order).alias("request"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.unix_millis(hour_key(F.col(ts), zone).cast("timestamp")).alias("hour")
+        F.col(client).cast("string").alias("client"), F.col(order).alias("request"), F.col(ts).alias("ts"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.unix_millis(hour_key(F.col(ts), zone).cast("timestamp")).alias("hour"),
+        (F.coalesce(F.col(success), F.lit(False)) if success else F.lit(True)).alias("done"),
     )
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -31,7 +32,7 @@ def limited_stream(requests: DataFrame, client: str, ts: str, order: str, cap: i
         seen = pd.concat(list(frames)).sort_values(["ms", "request"], kind="stable")
         hour, count, start, minute = state.get if state.exists else (None, 0, 0, 0)
         allowed, reasons = [], []
-        for ms, at in zip(seen["ms"].tolist(), seen["hour"].tolist(), strict=True):
+        for ms, at, done in zip(seen["ms"].tolist(), seen["hour"].tolist(), seen["done"].tolist(), strict=True):
             if hour != at:
                 hour, count, start, minute = at, 0, ms, 0
             reason = None
@@ -39,7 +40,7 @@ def limited_stream(requests: DataFrame, client: str, ts: str, order: str, cap: i
                 if ms - start > MINUTE_MS:
                     start, minute = ms, 0
                 reason = "PER_MINUTE_LIMIT" if minute >= MINUTE_LIMIT else "PER_HOUR_IP_CAP" if count >= cap else None
-                if reason is None:
+                if reason is None and done:
                     minute, count = minute + 1, count + 1
             allowed.append(reason is None)
             reasons.append(reason)
