@@ -8,9 +8,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from wordloom.llm import chat, language, licenses, mixing
-from wordloom.llm.decontaminate import contamination, decontaminated, longest_matches
+from wordloom.llm import words as W
+from wordloom.llm.decontaminate import TestSuffixes, contamination, decontaminated, longest_matches, matches
 from wordloom.llm.fingerprint import fingerprints
 from wordloom.llm.near_dedup import near_duplicates, one_of_each
 from wordloom.llm.phrase_dedup import deduplicated, substring_dedup
@@ -83,6 +85,17 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    rng = random.Random(4)
+    p, x, y, z = (" ".join(_words(rng, 30)) for _ in range(4))
+    rows = [(3, y), (5, y), (5, x), (9, x), (9, None), (11, z), (11, ""), (12, z), (20, None), (21, p)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.n_shingles > 0, r.component_id, r.kept) for r in near_duplicates(table).collect())
+    want = sorted((i, bool(t), {3: 3, 5: 3, 9: 3, 11: 11, 12: 11, 20: 20, 21: 21}[i], i in (3, 11, 20, 21)) for i, t in rows)
+    assert found == want
+    assert sorted(r.doc_id for r in one_of_each(table).collect()) == [3, 11, 20, 21]
+
+
 def test_one_of_each(docs, empty):
     out = one_of_each(docs)
     assert out.columns == docs.columns
@@ -187,6 +200,42 @@ def test_decontaminated_judges_rows(spark, empty, part_bytes):
     assert decontaminated(empty, benchmark).count() == 0 and decontaminated(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_long_items_take_linear_memory(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long[1000:1500] + ["x"] + long[5000:5004])), (2, "nothing here"), (3, " ".join(["again"] * 3000)), (4, " ".join(long[:120_000]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(long)), (8, " ".join(["again"] * 2000)), (9, "x"), (10, "nothing")], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, r.n_items, r.longest_match) for r in contamination(docs, benchmark).collect()}
+    assert found == {1: (501, 2, 500), 2: (1, 1, 1), 3: (3000, 1, 2000), 4: (120_000, 1, 120_000)}
+    spots = {(r.doc_id, r.item_id): (r.doc_start, r.item_start, r.n_words) for r in longest_matches(docs, benchmark).where("doc_id in (1, 4)").collect()}
+    assert spots == {(1, 7): (0, 1000, 500), (1, 9): (500, 0, 1), (4, 7): (0, 0, 120_000)}
+
+
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_matches_against_all_pairs(pairs):
+    rng = random.Random(9)
+    docs = ["".join(rng.choices(["a ", "b ", "c "], k=rng.randint(0, 40))) for _ in range(12)]
+    items = [(i, "".join(rng.choices(["a ", "b ", "c "], k=rng.randint(0, 12)))) for i in range(10)]
+    want = set()
+    for d, text in enumerate(docs):
+        x = text.split()
+        for i, item in items:
+            y = item.split()
+            k = min(4, len(y))
+            for a in range(len(x)):
+                for b in range(len(y)):
+                    if k and (a == 0 or b == 0 or x[a - 1] != y[b - 1]):
+                        n = 0
+                        while a + n < len(x) and b + n < len(y) and x[a + n] == y[b + n]:
+                            n += 1
+                        if n >= k:
+                            want.add((d, a, i, b, n))
+    m = matches(W.split(pa.array(docs), W.ALNUM_LOWER), TestSuffixes(items, 4), pairs)
+    found = list(zip(m.doc.tolist(), m.start.tolist(), m.item.tolist(), m.item_start.tolist(), m.n.tolist(), strict=True))
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 50
+
+
 def test_mixing(docs, empty):
     assert mixing.targets([100, 100, 100]) == pytest.approx([200, 250 * 2 / 3, 250 / 3]) and mixing.targets([0, 10]) == [0, 15]
     for n in (1, 2, 3, 10, 257):

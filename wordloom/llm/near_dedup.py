@@ -12,6 +12,9 @@ components go on with an exact prefix filter: two sets can reach the threshold
 only if they share one of their rarest shingles.  Nothing is dropped and no
 bucket is gathered in one task.
 
+A class is known by its least doc_id and a hash of its set, as rows that share a
+doc_id may have different sets; such classes are linked.
+
 Defined results: a null, empty or blank text has no shingle and links with
 nothing; fewer than five words are one shingle; rows that share a doc_id are
 one document, linked by whatever links any of them, and each row is returned;
@@ -38,6 +41,7 @@ ROWS = 5
 PERCENT = 85
 
 _FIRST = 0x2545F4914F6CDD1D
+_SALT_A, _SALT_B = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 _FEATURES = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
@@ -75,6 +79,12 @@ def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     return W.distinct(*W.shingles(words, k))
 
 
+def _sums(values: np.ndarray, offsets: np.ndarray, salt: int) -> pa.Array:
+    """A hash of each set: the sum of its values' hashes."""
+    total = np.concatenate([np.zeros(1, W.U64), np.cumsum(W.mix(values ^ W.U64(salt)))])
+    return pa.array(W.signed(total[offsets[1:]] - total[offsets[:-1]]))
+
+
 def features(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
     """Set sizes, 128-bit set hashes and band buckets of every document."""
 
@@ -84,16 +94,12 @@ def features(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                 values, offsets = _sets(part, k)
                 sizes = np.diff(offsets)
                 full = np.flatnonzero(sizes)
-                sums = []
-                for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-                    total = np.concatenate([np.zeros(1, W.U64), np.cumsum(W.mix(values ^ W.U64(salt)))])
-                    sums.append(W.signed(total[offsets[1:]] - total[offsets[:-1]]))
                 buckets = np.zeros((0, bands), dtype=W.U64)
                 if len(full):
                     buckets = band_hashes(signatures(values, np.append(offsets[:-1][full], offsets[-1]), bands * rows), bands, rows)
                 counts = np.where(sizes > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums[0]), pa.array(sums[1]), W.grouped(W.signed(buckets.ravel()), np.concatenate([[0], np.cumsum(counts)]), pa.int64())],
+                    [part.column("doc_id"), pa.array(sizes, pa.int64()), _sums(values, offsets, _SALT_A), _sums(values, offsets, _SALT_B), W.grouped(W.signed(buckets.ravel()), np.concatenate([[0], np.cumsum(counts)]), pa.int64())],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
@@ -101,15 +107,20 @@ def features(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """Every document's distinct shingle hashes, sorted."""
+    """Every row's doc_id and set hash, as ``id``, and its distinct shingle hashes, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch):
                 values, offsets = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), W.grouped(W.signed(values), offsets, pa.int64())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _sums(values, offsets, _SALT_A), W.grouped(W.signed(values), offsets, pa.int64())], names=["doc_id", "set_a", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_a long, shingles array<long>")
+    return sets.select(_node("doc_id").alias("id"), "shingles")
+
+
+def _node(doc_id: str) -> Column:
+    return F.struct(F.col(doc_id).alias("doc"), F.col("set_a").alias("set"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -125,9 +136,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(u) + len(v) - common))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    of_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    of_b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    of_a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
+    of_b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    return pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "of_a", "of_b").mapInArrow(run, "a struct<doc:long,set:long>, b struct<doc:long,set:long>")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE_WORDS) -> DataFrame:
@@ -143,7 +154,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     classes = sets.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("class_id"))
     classes = written(classes, "near-classes")
     firsts = sets.join(classes.select(F.col("class_id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    rowed = firsts.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    rowed = firsts.select(_node("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = rowed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("bucket")
     members = written(rowed.join(limited(written(shared, "near-shared")), "bucket"), "near-buckets")
 
@@ -151,7 +162,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     centre = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("c"))
     near = members.join(centre, "bucket").select(F.col("c.id").alias("a"), F.col("id").alias("b"), F.col("c.n").alias("n_a"), F.col("n").alias("n_b"))
     pairs = written(near.where((F.col("a") != F.col("b")) & _close(percent)).select("a", "b").distinct(), "near-pairs")
+    several = written(_several(found), "near-several")
+    repeated = not several.isEmpty()
     edges = _links(known, pairs, percent, k)
+    if repeated:
+        edges = edges.union(_same_document(sets.join(limited(several), "doc_id"), classes))
     component = written(connected(edges), "near-components")
 
     # Buckets that still hold several components.
@@ -163,10 +178,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     if not more.isEmpty():
         component = written(connected(edges.union(more)), "near-components")
 
-    resolved = classes.join(component, classes.class_id == component.id, "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "class_id").alias("linked"))
+    linked = component.select(F.col("id.doc").alias("class_id"), F.col("id.set").alias("set_a"), F.col("component.doc").alias("linked"))
+    resolved = classes.join(linked, ["class_id", "set_a"], "left").select("set_a", "set_b", "n_shingles", F.coalesce("linked", "class_id").alias("linked"))
     out = found.drop("bands").join(resolved, ["set_a", "set_b", "n_shingles"], "left")
     component_id = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("linked")).otherwise(F.col("doc_id")).alias("component_id")
-    return out.select("doc_id", "n_shingles", component_id).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component_id)
+    if repeated:
+        out = _one_id(out, several)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The doc_ids whose rows have several sets."""
+    known = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_a").alias("low"), F.max("set_a").alias("high"))
+    return known.where("low < high").select("doc_id")
+
+
+def _same_document(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id."""
+    of = rows.select("doc_id", "set_a", "set_b", "n_shingles").join(classes, ["set_a", "set_b", "n_shingles"])
+    of = of.select("doc_id", _node("class_id").alias("b")).distinct()
+    least = of.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return of.join(least, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
+def _one_id(out: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows without a shingle follow the other rows of their doc_id."""
+    theirs = out.where("n_shingles > 0").join(limited(several), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("theirs"))
+    return out.join(theirs, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("theirs", "component_id").alias("component_id"))
 
 
 def _close(percent: int) -> Column:
@@ -175,7 +214,7 @@ def _close(percent: int) -> Column:
 
 
 def _links(docs: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "near-wanted")
+    wanted = written(pairs.select(F.col("a.doc").alias("doc_id")).union(pairs.select("b.doc")).distinct(), "near-wanted")
     sets = written(shingle_sets(docs.join(limited(wanted), "doc_id", "left_semi"), k), "near-sets")
     return written(verified(pairs, sets, percent), "near-links")
 
@@ -188,11 +227,11 @@ def _rare_pairs(docs: DataFrame, rest: DataFrame, percent: int, k: int) -> DataF
     first in it and yield no pair, so edits of one text that differ in too many
     shingles of their own never meet.
     """
-    texts = docs.join(limited(rest.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
-    rows = shingle_sets(texts, k).select(F.col("doc_id").alias("id"), F.explode("shingles").alias("shingle")).join(rest.select("id", "n", "component"), "id")
+    texts = docs.join(limited(rest.select(F.col("id.doc").alias("doc_id"))), "doc_id", "left_semi")
+    rows = shingle_sets(texts, k).select("id", F.explode("shingles").alias("shingle")).join(rest.select("id", "n", "component"), "id")
     rows = written(rows, "near-shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "df")
-    ranked = rows.join(common, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("common"))
+    ranked = rows.join(common, "shingle").groupBy("id", "n", "component").agg(F.sort_array(F.collect_set(F.struct("df", "shingle"))).alias("common"))
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     alone = F.col("n") - F.size("common")
     prefix = ranked.select("id", "n", "component", "common", F.slice("common", F.lit(1), F.greatest(F.lit(0), length - alone).cast("int")).alias("prefix"))

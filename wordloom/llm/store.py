@@ -7,13 +7,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no folder (local runs and tests).
+#: Used only where one machine runs everything and the session names no folder.
 LOCAL_FOLDER = "/tmp/checkpoints/wordloom"
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_FOLDER}"
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a session whose master is local may go without; a cluster must name it.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{LOCAL_FOLDER}"
 
 
 #: Bytes of one Arrow batch between the JVM and Python, so that long texts need no more memory than short ones.
