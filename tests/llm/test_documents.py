@@ -10,7 +10,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from wordloom.llm import chat, language, licenses, mixing
+from wordloom.llm import chat, language, licenses, mixing, phrase_dedup
 from wordloom.llm import words as W
 from wordloom.llm.decontaminate import TestSuffixes, contamination, decontaminated, longest_matches, matches
 from wordloom.llm.fingerprint import fingerprints
@@ -148,6 +148,50 @@ def test_substring_dedup(docs, empty):
     assert deduplicated(empty).count() == 0
 
 
+def _dedup_rows() -> tuple[list, dict]:
+    """Rows that share ids, and by (doc_id, text) the words that stay."""
+    rng = random.Random(12)
+    p, x, y = (_words(rng, n) for n in (60, 100, 70))
+    rows = [(1, p), (2, p), (2, x), (2, y + p), (3, y[:55]), (3, x[:30] + p), (4, x + y), (None, p), (4, x + y)]
+    least: dict[tuple, int] = {}
+    for i, w in rows:
+        for a in range(len(w) - 49):
+            if i is not None:
+                least[tuple(w[a : a + 50])] = min(least.get(tuple(w[a : a + 50]), i), i)
+    want = defaultdict(list)
+    for i, w in rows:
+        gone = {k for a in range(len(w) - 49) if i is not None and least[tuple(w[a : a + 50])] < i for k in range(a, a + 50)}
+        want[i].append([v for k, v in enumerate(w) if k not in gone])
+    return rows, want
+
+
+def test_rows_that_share_an_id_lose_their_own_words(spark):
+    rows, want = _dedup_rows()
+    docs = spark.createDataFrame([(i, "  ".join(w), "z") for i, w in rows], "doc_id long, text string, h string")
+    found = defaultdict(list)
+    for r in substring_dedup(docs).collect():
+        found[r.doc_id].append((r.n_removed, r.kept_sha256))
+    for i, kept in want.items():
+        lengths = [len(w) for j, w in rows if j == i]
+        assert sorted(found[i]) == sorted((n - len(w), hashlib.sha256(" ".join(w).encode()).hexdigest()) for n, w in zip(lengths, kept, strict=True))
+    assert sum(n for x in found.values() for n, _ in x) > 200
+    texts = sorted((r.doc_id or 0, len(r.text.split())) for r in deduplicated(docs).collect())
+    assert texts == sorted((i or 0, len(w)) for i, x in want.items() for w in x if w)
+
+
+def test_only_the_automata_locate(spark, docs, monkeypatch):
+    """Shards of few phrases and documents give the same; without occurrences nothing is removed."""
+    monkeypatch.setattr(phrase_dedup, "AUTOMATON", 3)
+    monkeypatch.setattr(phrase_dedup, "PART_DOCS", 2)
+    want = _removed()
+    for r in substring_dedup(docs).where("doc_id is not null").collect():
+        assert r.n_removed == want[r.doc_id][0] - len(want[r.doc_id][1])
+    phrases = pa.array(["a b c", "b c d", "x y z", "a b c"])
+    words = W.split(pa.array(["a b c d", "a b", "c x y z"]))
+    assert phrase_dedup.Automata([phrases], 3, 2).occurrences(words).tolist() == [0, 1, 7]
+    assert phrase_dedup.Automata([], 3).occurrences(words).tolist() == []
+
+
 @pytest.mark.parametrize("part_bytes", [1 << 20, 200])
 def test_contamination(spark, docs, empty, part_bytes):
     texts = dict(_texts())
