@@ -293,9 +293,50 @@ def test_mixing(docs, empty):
     assert len(first) == len(_texts()) and (first.taken <= 2 * first["size"]).all()
     for _, g in first.groupby("source", dropna=False):
         assert g["size"].sum() == g.source_size.iloc[0] and abs(g.taken.sum() - g.target.iloc[0]) <= 1
+    assert (first.loc[first["size"] == 0, ["taken", "n_shards"]] == 0).all(axis=None)
     assert mixing.taken(mixing.mix(empty)).count() == 0
 
 
+def test_shards_draw_from_all_sources():
+    sources = [mixing.Source(str(k), 0, 0.0, 1, n, 0) for k, n in enumerate([50_000, 20_000, 29_999, 0])]
+    want = [sum(s.slots for s in sources) / 100_000 * s.slots / 100_000 for s in sources]
+    shards = [one for r in mixing.ranges(sources, 1000) for one in r.shards(1000, mixing.SEED)]
+    assert [one.shard for one in shards] == list(range(100)) and [int(one.counts.sum()) for one in shards] == [1000] * 99 + [999]
+    counts = np.array([one.counts for one in shards])
+    assert counts.sum(axis=0).tolist() == [s.slots for s in sources]
+    assert (np.cumsum(counts, axis=0) - counts == np.array([one.first for one in shards])).all()
+    # Multinomial spread: mean and variance of each source's share of a shard.
+    for k, p in enumerate([0.5, 0.2, 0.3, 0.0]):
+        assert abs(counts[:, k].mean() - 1000 * p) < 1
+        assert 0.5 * 1000 * p * (1 - p) <= counts[:, k].var() <= 1.7 * 1000 * p * (1 - p)
+    assert len(want) == 4 and mixing.ranges(sources[3:], 1000) == []
+    # The same shards, however many ranges the driver draws for.
+    again = [one.counts.tolist() for one in mixing.Range(0, 100, np.array([s.slots for s in sources]), np.zeros(4, np.int64)).shards(1000, mixing.SEED)]
+    assert again == counts.tolist()
+
+
+def test_mix_against_brute_force(docs):
+    """Packing, slots and pieces once more, slot by slot in plain Python."""
+    mixed = mixing.mix(docs, block=16)
+    streams = defaultdict(list)
+    for r in sorted(mixed.documents.collect(), key=lambda r: (r.s, r.start)):
+        streams[r.s] += [(r.doc_id, r.size, k) for k in range(r.size)]
+    words, by_shard = defaultdict(int), defaultdict(int)
+    for one in (x for r in mixing.ranges(mixed.sources) for x in r.shards(mixing.SHARD_SLOTS, mixing.SEED)):
+        for s, source in enumerate(mixed.sources):
+            for j in range(int(one.first[s]), int(one.first[s] + one.counts[s])):
+                at = int(mixing.permuted(np.array([j % source.blocks]), source.blocks, mixing._seed(s, j // source.blocks))[0])
+                part = streams[s][at * 16 : at * 16 + (source.last if j == source.slots - 1 else 16)]
+                by_shard[one.shard, source.name] += len(part)
+                for i, size, _ in part:
+                    words[i, size, source.name] += 1
+    found = defaultdict(int)
+    for r in mixing.taken(mixed).collect():
+        found[r.doc_id, r["size"], r.source] += r.taken
+    assert {k: v for k, v in found.items() if v} == dict(words)
+    assert {(r.shard, r.source): r.words for r in mixing.shard_mix(mixed).collect()} == dict(by_shard)
+
+
 def test_fingerprints(docs, empty):
     rows = sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     texts = [t or "" for _, t in rows]

@@ -2,17 +2,22 @@
 
 The documents of a source, in a pseudorandom order, are packed into blocks of
 ``BLOCK`` words (the last may be shorter).  The mix is a sequence of slots, dealt
-to output shards: each shard draws how many slots each source gets from a
+to output shards: each shard draws how many slots each source gets, from a
 multinomial over what the sources still owe, so that the shards look alike and
 the totals meet the targets.  Slot j of a source is mapped through the source's
 pseudorandom permutation of block indices, a new one each time all its blocks
 were used, and blocks are joined by index.  The last slot of a source takes only
 the words that its target still lacks.
 
+The draws are made by halves: of the shards of a range, the first half gets a
+random part of each source's slots, and so on down to single shards, each range
+with a seed of its own.  So tasks draw for their own ranges, in any order.
+
 Scale: offsets come from two-level prefix sums over hashed buckets, so a source
-with a third of all rows is packed by many tasks; the join by (source, block) is
-even, as every block is a key of its own.  The driver holds one row per source
-and at most ``MAX_SHARDS`` rows of counts a source.
+with a third of all rows is packed by many tasks, a bucket having about
+``BUCKET_DOCS`` documents of one source whatever the source's size; the join by
+(source, block) is even, as every block is a key of its own.  The driver holds
+one row per source and at most ``NODE_CELLS`` counts of ranges.
 
 Defined results: a null text has no words; a document without words is never
 taken; null is a source of its own, last in order; rows that share a doc_id
@@ -25,9 +30,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,7 +46,11 @@ SEED = 20240101
 #: Documents a packing bucket holds on average.
 BUCKET_DOCS = 10_000
 SHARD_SLOTS = 4096
-MAX_SHARDS = 100_000
+#: Ranges of shards that the driver draws for, and counts (ranges times sources) that it holds.
+NODES = 256
+NODE_CELLS = 1 << 22
+#: Sources whose numbers may be broadcast.
+BROADCAST_SOURCES = 200_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS) -> list[float]:
@@ -131,21 +139,53 @@ def plan(name: str | None, k: int, size: int, target: float, block: int) -> Sour
     return Source(name, size, target, blocks, epochs * blocks + slots, length - (slots * block - gap - rest))
 
 
-def shard_counts(sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> np.ndarray:
-    """Slots of each source (columns) in each output shard (rows)."""
+def halved(counts: np.ndarray, n: int, seed: list[int]) -> np.ndarray:
+    """How many of ``counts`` slots of each source go to the first ``n`` of them all: a random draw of that total."""
+    draw = np.random.default_rng(seed)
+    left = draw.binomial(counts, n / counts.sum())
+    while gap := n - int(left.sum()):
+        room = counts - left if gap > 0 else left
+        step = np.minimum(draw.multinomial(abs(gap), room / room.sum()), room)
+        left = left + step if gap > 0 else left - step
+    return left
+
+
+@dataclass(frozen=True)
+class Range:
+    """Some consecutive shards: the first, how many, and by source their slots and the number of the first slot."""
+
+    shard: int
+    n: int
+    counts: np.ndarray
+    first: np.ndarray
+
+    def halves(self, shard_slots: int, seed: int) -> tuple[Range, Range]:
+        n = self.n // 2
+        left = halved(self.counts, n * shard_slots, [seed, self.shard, self.n])
+        return Range(self.shard, n, left, self.first), Range(self.shard + n, self.n - n, self.counts - left, self.first + left)
+
+    def shards(self, shard_slots: int, seed: int) -> Iterator[Range]:
+        """The single shards, in order."""
+        todo = [self]
+        while todo:
+            range_ = todo.pop()
+            if range_.n == 1:
+                yield range_
+            else:
+                todo.extend(reversed(range_.halves(shard_slots, seed)))
+
+
+def ranges(sources: list[Source], shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> list[Range]:
+    """All shards in up to ``NODES`` ranges; every shard has ``shard_slots`` slots, but for the last."""
     owed = np.array([s.slots for s in sources], dtype=np.int64)
     total = int(owed.sum())
-    size = max(shard_slots, -(-total // MAX_SHARDS))
-    draw, out = np.random.default_rng(seed), []
-    while owed.sum():
-        need, got = min(size, int(owed.sum())), np.zeros_like(owed)
-        while need:
-            counts = np.minimum(draw.multinomial(need, (owed - got) / (owed - got).sum()), owed - got)
-            got += counts
-            need -= int(counts.sum())
-        out.append(got)
-        owed = owed - got
-    return np.array(out, dtype=np.int64).reshape(len(out), len(sources))
+    if not total:
+        return []
+    out = [Range(0, -(-total // shard_slots), owed, np.zeros_like(owed))]
+    most = max(1, min(NODES, NODE_CELLS // len(sources)))
+    while len(out) < most and any(r.n > 1 for r in out):
+        out = [h for r in out for h in (r.halves(shard_slots, seed) if r.n > 1 else (r,))]
+    return out
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -154,41 +194,40 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"))
 
 
-def packed(sized: DataFrame) -> DataFrame:
-    """Adds each document's first word in its source's stream, ``start``."""
-    n = sized.count()
+def packed(sized: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Adds the source's number and each document's first word in its source's stream, ``start``."""
     order = F.xxhash64("doc_id", "size", F.lit(SEED))
-    keyed = sized.withColumns({"_order": order, "_bucket": F.pmod(order, F.lit(max(1, -(-n // BUCKET_DOCS))))})
-    sums = keyed.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("source").alias("_of"), F.col("_bucket").alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inner = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = sized.join(numbers, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
+    buckets = F.ceil(F.col("docs") / BUCKET_DOCS)
+    keyed = keyed.withColumn("_order", order).withColumn("_bucket", F.pmod("_order", buckets)).drop("docs")
+    sums = keyed.groupBy("s", "_bucket").agg(F.sum("size").alias("_sum"))
+    before = Window.partitionBy("s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("s", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("s", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    on = placed["source"].eqNullSafe(bases["_of"]) & (F.col("_bucket") == F.col("_at"))
-    return placed.join(bases, on).select("doc_id", "source", "size", (F.col("_base") + F.col("_inner")).alias("start"))
+    return placed.join(bases, ["s", "_bucket"]).withColumn("start", F.col("_base") + F.col("_inner")).drop("_order", "_bucket", "_base", "_inner")
 
 
-def slots(spark, sources: list[Source], block: int) -> DataFrame:
+def slots(spark: SparkSession, sources: list[Source], block: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """One row per slot of the mix: source number, block index, words to take, shard, slot."""
-    counts = shard_counts(sources)
-    first = np.cumsum(counts, axis=0) - counts
-    shard, source = np.nonzero(counts)
-    table = pd.DataFrame({"shard": shard.astype(np.int64), "s": source.astype(np.int64), "first": first[shard, source], "n": counts[shard, source]})
-    blocks, total, last = ([getattr(s, x) for s in sources] for x in ("blocks", "slots", "last"))
+    table = [(r.shard, r.n, r.counts.astype("<i8").tobytes(), r.first.astype("<i8").tobytes()) for r in ranges(sources, shard_slots)]
+    blocks, total, last = (np.array([getattr(s, x) for s in sources], dtype=np.int64) for x in ("blocks", "slots", "last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                j, s = np.arange(row["first"], row["first"] + row["n"]), row["s"]
-                at, epochs = np.empty(len(j), dtype=np.int64), j // blocks[s]
-                for epoch in np.unique(epochs).tolist():
-                    mine = epochs == epoch
-                    at[mine] = permuted(j[mine] % blocks[s], blocks[s], _seed(s, epoch))
-                take = np.where(j == total[s] - 1, last[s], block)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), s)), pa.array(at), pa.array(take), pa.array(np.full(len(j), row["shard"])), pa.array(j)], names=["s", "block", "take", "shard", "slot"])
-
-    columns = "shard long, s long, first long, n long"
-    rows = spark.createDataFrame(table, columns) if len(table) else spark.createDataFrame([], columns)
+                whole = Range(row["shard"], row["n"], *(np.frombuffer(row[c], "<i8") for c in ("counts", "first")))
+                for one in whole.shards(shard_slots, SEED):
+                    for s in np.flatnonzero(one.counts).tolist():
+                        j = np.arange(one.first[s], one.first[s] + one.counts[s])
+                        at, epochs = np.empty(len(j), dtype=np.int64), j // blocks[s]
+                        for epoch in np.unique(epochs).tolist():
+                            mine = epochs == epoch
+                            at[mine] = permuted(j[mine] % blocks[s], int(blocks[s]), _seed(s, epoch))
+                        take = np.where(j == total[s] - 1, last[s], block)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), s)), pa.array(at), pa.array(take), pa.array(np.full(len(j), one.shard)), pa.array(j)], names=["s", "block", "take", "shard", "slot"])
+
+    rows = spark.createDataFrame(table, "shard long, n long, counts binary, first binary")
     return rows.mapInArrow(run, "s long, block long, take long, shard long, slot long")
 
 
@@ -208,12 +247,13 @@ class Mix:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, block: int = BLOCK) -> Mix:
     sized = written(sizes(docs), "mix-sizes")
-    totals = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    totals = [(r["source"], r["n"], r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("docs")).collect()]
     totals.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    goals = targets([n for _, n in totals], weights, share, repeats)
-    sources = [plan(name, k, n, goal, block) for k, ((name, n), goal) in enumerate(zip(totals, goals, strict=True))]
-    numbers = sized.sparkSession.createDataFrame([(k, s.name, s.size, float(s.target)) for k, s in enumerate(sources)], "s long, _name string, source_size long, target double")
-    documents = written(packed(sized).join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("_name"))).drop("_name"), "mix-packed")
+    goals = targets([n for _, n, _ in totals], weights, share, repeats)
+    sources = [plan(name, k, n, goal, block) for k, ((name, n, _), goal) in enumerate(zip(totals, goals, strict=True))]
+    rows = [(k, s.name, s.size, float(s.target), n) for k, (s, (_, _, n)) in enumerate(zip(sources, totals, strict=True))]
+    numbers = sized.sparkSession.createDataFrame(rows, "s long, _name string, source_size long, target double, docs long")
+    documents = written(packed(sized, F.broadcast(numbers) if len(rows) <= BROADCAST_SOURCES else numbers), "mix-packed")
     whole = documents.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     joined = whole.join(slots(sized.sparkSession, sources, block), ["s", "block"])
     begin = F.greatest(F.col("start"), F.col("block") * block)
@@ -223,8 +263,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def taken(mixed: Mix) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and the words taken."""
-    sums = mixed.pieces.groupBy("s", "start").agg(F.sum("n").alias("taken"))
-    # Documents without words share their start with the next one.
-    words: Column = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return mixed.documents.join(sums, ["s", "start"], "left").select("doc_id", "source", "size", "source_size", "target", words.alias("taken"))
+    """Per document: doc_id, source, size, source_size, target, the words taken, and how many shards took some, from the first."""
+    # A set of shards is as large as its document at most; documents without words share their start with the next one.
+    sums = mixed.pieces.groupBy("s", "start").agg(F.sum("n").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
+    names = ["doc_id", "source", "size", "source_size", "target"]
+    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "n_shards")]
+    empty = mixed.documents.where("size = 0").select(*names, *none, F.lit(None).cast("long").alias("first_shard"))
+    some = mixed.documents.where("size > 0").join(sums, ["s", "start"], "left")
+    some = some.select(*names, F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.when(F.col("shards").isNull(), F.lit(0)).otherwise(F.size("shards")).cast("long").alias("n_shards"), F.get("shards", F.lit(0)).alias("first_shard"))
+    return some.union(empty)
+
+
+def shard_mix(mixed: Mix) -> DataFrame:
+    """Per output shard and source: shard, source and the words that the shard takes from it."""
+    names = mixed.documents.select("s", "source").distinct()
+    return mixed.pieces.groupBy("shard", "s").agg(F.sum("n").alias("words")).join(names, "s").select("shard", "source", "words")

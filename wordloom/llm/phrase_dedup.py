@@ -52,6 +52,8 @@ PHRASE = 10
 AUTOMATON = 40_000
 #: Documents, about, that one task streams through a shard's automaton.
 PART_DOCS = 5_000
+#: Rows of several columns that may be broadcast (about 100 MB in memory).
+WIDE_ROWS = 1_000_000
 
 _LOW, _HIGH = W.U64(0xFFFFFFFF), W.U64(32)
 _SURROGATES, _LETTERS = 0xD800, 0x10FFFF - 0x800 - 16
@@ -274,14 +276,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     keys = ["phrase", "key_a", "key_b", "n"]
     firsts = written(passages.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")), "phrase-firsts")
     # All windows of a passage that an earlier document has whole.
-    whole = passages.drop("windows").join(firsts.where("least < most"), keys).where("doc_id > least").select("doc_id", "h", "first", "n")
+    shared = written(firsts.where("least < most").drop("most"), "phrase-shared")
+    whole = passages.drop("windows").join(limited(shared, WIDE_ROWS), keys).where("doc_id > least").select("doc_id", "h", "first", "n")
     # Windows of passages in their first documents, against those of other passages with the same anchor.
     several = written(firsts.groupBy("phrase").agg(F.count("*").alias("passages")).where("passages > 1").select("phrase"), "phrase-several")
-    mixed = firsts.join(limited(several), "phrase").select(*keys, F.col("least").alias("doc_id"))
-    heads = passages.join(mixed, [*keys, "doc_id"], "left_semi")
+    mixed = written(firsts.join(limited(several), "phrase").select(*keys, F.col("least").alias("doc_id")), "phrase-mixed")
+    heads = passages.join(limited(mixed, WIDE_ROWS), [*keys, "doc_id"], "left_semi")
     spread = written(_spread(heads), "phrase-windows")
     least = spread.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("a", "b", "low")
-    single = spread.join(least, ["a", "b"]).where("doc_id > low").select("doc_id", "h", "first", F.lit(1).alias("n"))
+    single = spread.join(limited(written(least, "phrase-least"), WIDE_ROWS), ["a", "b"]).where("doc_id > low").select("doc_id", "h", "first", F.lit(1).alias("n"))
     return whole.union(single)
 
 
