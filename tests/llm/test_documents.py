@@ -378,6 +378,33 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in language.predictions(docs, blank).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """300 languages, each with words of its own; plain Python scores the words once more."""
+    rng = random.Random(7)
+    own = {f"l{k:03}": _words(rng, 3) + ["".join(rng.choices("ghijklmnopqr", k=7)) for _ in range(3)] for k in range(300)}
+    rows = [(i, " ".join(rng.choices(own[x], k=12)), x) for i, x in enumerate(list(own) * 3)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(table)
+    assert len(model.languages) == 300 and sum(t.nbytes for t in model.tables) < 30 << 20
+    found = {r.doc_id: r.lang_pred for r in language.predictions(table, model).collect()}
+    assert sum(found[i] == x for i, _, x in rows) >= 890
+    text = language.read(pa.array([rows[5][1]]))
+    columns, scores = model.scores(text)
+    counts = [defaultdict(lambda: defaultdict(int)) for _ in range(3)]
+    for _, t, x in rows:
+        whole = language.read(pa.array([t]))
+        for k, buckets in enumerate([*whole.buckets, whole.word_bucket]):
+            for b in buckets.tolist():
+                counts[k][x][b] += 1
+    for at, x in ((0, model.languages[0]), (5, rows[5][2])):
+        want = 0.0
+        for k, buckets in enumerate([*text.buckets, text.word_bucket]):
+            total = sum(counts[k][x].values()) + 0.5 * language.BUCKETS
+            mine = buckets[text.position_words == 0] if k < 2 else buckets[:1]
+            want += sum(np.log((counts[k][x][b] + 0.5) / total) for b in mine.tolist())
+        assert scores[0, columns.tolist().index(at)] == pytest.approx(want, rel=1e-4)
+
+
 def test_viterbi_is_exact():
     rng = np.random.default_rng(0)
     for _ in range(60):

@@ -11,8 +11,10 @@ letters.
 Scale: prediction is one pass without shuffle; long texts cost linear time, as
 Viterbi runs over blocks of ``STEP`` words at once and then over blocks.
 Training counts come from a sample of about ``SAMPLE`` rows a language (a
-documented bound, drawn by text hash); counts are ``BUCKETS`` numbers a language
-and task.  At most ``MAX_LANGUAGES`` languages are learned, the most frequent.
+documented bound, drawn by text hash); a task counts one language at a time.
+There is no limit on languages: the model has a column for each, and rows only
+for n-grams that were seen.  Only languages that some script of a slice allows
+take part in its Viterbi, which needs memory in proportion to them.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter, or
 where nothing could be learned; rows are judged one by one; extra columns are
@@ -33,16 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
+from wordloom.llm.store import limited, written
 
 BUCKETS = 1 << 17
 SAMPLE = 5_000
-MAX_LANGUAGES = 256
 PENALTY = 12.0
 STEP = 64
 #: A language uses a script that holds this share of its training letters.
 SCRIPT_SHARE = 0.02
 UNDETERMINED = "und"
-_TASKS = 8
+#: Tasks that count, at most; each takes whole languages.
+TASKS = 16
 _FINE = 1 << 40
 
 #: First code points of Unicode blocks, and the script from there on.
@@ -123,72 +126,102 @@ def read(column: pa.Array) -> Text:
 
 @dataclass
 class Model:
-    """Log probabilities by feature kind, bucket and language; scripts each language uses."""
+    """Log probabilities by feature kind, n-gram and language; scripts each language uses.
+
+    ``index`` has each bucket's row in ``tables``; row 0 is for n-grams never seen.
+    """
 
     languages: list[str]
-    table: np.ndarray
+    index: np.ndarray
+    tables: list[np.ndarray]
     allowed: np.ndarray
 
-    def scores(self, text: Text) -> np.ndarray:
-        """One row per word, one column per language."""
+    def scores(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
+        """The languages that some word's script allows, and their scores: one row per word."""
+        columns = np.flatnonzero(self.allowed[np.unique(text.script)].any(axis=0))
+        some = slice(None) if len(columns) == len(self.languages) else columns
         n = len(text.letters)
-        out = self.table[2][text.word_bucket]
+        out = self.tables[2][self.index[2, text.word_bucket]][:, some]
         starts = np.searchsorted(text.position_words, np.arange(n))
         for k, buckets in enumerate(text.buckets):
-            out = out + np.add.reduceat(self.table[k][buckets], starts, axis=0)
-        return np.where(self.allowed[text.script], out, out.min(axis=1, keepdims=True) - np.float32(1e4))
+            out = out + np.add.reduceat(self.tables[k][self.index[k, buckets]][:, some], starts, axis=0)
+        return columns, np.where(self.allowed[text.script][:, some], out, out.min(axis=1, keepdims=True) - np.float32(1e4))
 
 
-def _count_rows(docs: DataFrame, languages: list[str]) -> DataFrame:
-    index = {x: k for k, x in enumerate(languages)}
+def _count_rows(docs: DataFrame) -> DataFrame:
+    """Per language, whose rows come together: distinct buckets and counts of each kind, and letters by script."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(index)
-        counts, scripts = np.zeros((3, n * BUCKETS), dtype=np.int64), np.zeros((n, 256), dtype=np.int64)
-        for batch in batches:
-            for part in W.slices(batch, limit=1 << 19):
-                text = read(part.column("text"))
-                lang = np.array([index[x] for x in part.column("lang").to_pylist()], dtype=np.int64)
-                of_word = np.repeat(lang, np.diff(text.offsets))
-                for k, (buckets, of) in enumerate([(text.buckets[0], of_word[text.position_words]), (text.buckets[1], of_word[text.position_words]), (text.word_bucket, of_word)]):
-                    counts[k] += np.bincount(of * BUCKETS + buckets, minlength=n * BUCKETS)
-                np.add.at(scripts, (of_word, text.script), text.letters)
-        for k in range(3):
-            for x in range(n):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.int32()), pa.array([counts[k, x * BUCKETS : (x + 1) * BUCKETS].astype("<i4").tobytes()])], names=["kind", "lang", "counts"])
-        yield pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([0], pa.int32()), pa.array([scripts.tobytes()])], names=["kind", "lang", "counts"])
+        now, counts, scripts = None, np.zeros((3, BUCKETS), dtype=np.int64), np.zeros(256, dtype=np.int64)
+
+        def finished() -> pa.RecordBatch:
+            seen = [np.flatnonzero(c) for c in counts]
+            kinds = [*((k, b.astype("<i4").tobytes(), counts[k][b].astype("<i8").tobytes()) for k, b in enumerate(seen)), (3, b"", scripts.tobytes())]
+            counts[:], scripts[:] = 0, 0
+            return pa.RecordBatch.from_arrays([pa.array([now] * 4, pa.string()), *(pa.array(list(x)) for x in zip(*kinds, strict=True))], names=["lang", "kind", "buckets", "counts"])
 
-    return docs.select("text", "lang").mapInArrow(run, "kind int, lang int, counts binary")
+        for batch in batches:
+            names = batch.column("lang").to_pylist()
+            edges = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                if names[a] != now:
+                    if now is not None:
+                        yield finished()
+                    now = names[a]
+                for part in W.slices(batch.slice(a, b - a), limit=1 << 19):
+                    text = read(part.column("text"))
+                    for k, buckets in enumerate([*text.buckets, text.word_bucket]):
+                        counts[k] += np.bincount(buckets, minlength=BUCKETS)
+                    scripts += np.bincount(text.script, weights=text.letters, minlength=256).astype(np.int64)
+        if now is not None:
+            yield finished()
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, kind long, buckets binary, counts binary")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from columns text and lang; rows with a null in either are left out."""
     known = labelled.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    languages = sorted(sizes)
-    counts, scripts = np.zeros((3, len(languages), BUCKETS), dtype=np.int64), np.zeros((len(languages), 256), dtype=np.int64)
-    if languages:
-        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(_FINE * min(1.0, sample / n)))])
-        picked = known.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("text"), F.lit(_FINE)) < share[F.col("lang")])
-        for row in _count_rows(picked.coalesce(_TASKS), languages).toLocalIterator():
-            if row["kind"] < 3:
-                counts[row["kind"], row["lang"]] += np.frombuffer(row["counts"], "<i4")
-            else:
-                scripts += np.frombuffer(row["counts"], np.int64).reshape(scripts.shape)
-    rate = counts + 0.5
-    table = np.log(rate / rate.sum(axis=2, keepdims=True)).transpose(0, 2, 1).astype(np.float32).copy()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", F.expr(f"bigint(floor({_FINE} * least(1.0D, {sample} / n)))").alias("share"))
+    picked = known.join(limited(written(sizes, "lang-sizes")), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_FINE)) < F.col("share"))
+    found = written(_count_rows(picked.repartition(TASKS, "lang").sortWithinPartitions("lang")), "lang-counts")
+    # Which n-grams any language has, then one column per language.
+    languages, seen = [], np.zeros((3, BUCKETS), dtype=bool)
+    for row in found.select("lang", "kind", "buckets").toLocalIterator():
+        if row["kind"] < 3:
+            seen[row["kind"], np.frombuffer(row["buckets"], "<i4")] = True
+        else:
+            languages.append(row["lang"])
+    languages.sort()
+    place = {x: k for k, x in enumerate(languages)}
+    index = np.where(seen, np.cumsum(seen, axis=1), 0).astype(np.int32)
+    tables = [np.zeros((int(seen[k].sum()) + 1, len(languages)), dtype=np.float32) for k in range(3)]
+    scripts = np.zeros((len(languages), 256), dtype=np.int64)
+    for row in found.toLocalIterator():
+        k, x, counts = row["kind"], place[row["lang"]], np.frombuffer(row["counts"], np.int64)
+        if k == 3:
+            scripts[x] = counts
+        else:
+            total = np.log(counts.sum() + 0.5 * BUCKETS)
+            tables[k][:, x] = np.log(0.5) - total
+            tables[k][index[k, np.frombuffer(row["buckets"], "<i4")], x] = np.log(counts + 0.5) - total
     allowed = (scripts >= SCRIPT_SHARE * np.maximum(1, scripts.sum(axis=1, keepdims=True))).T.copy()
     allowed[~allowed.any(axis=1)] = True
-    return Model(languages, table, allowed)
+    return Model(languages, index, tables, allowed)
 
 
-def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, step: int = STEP) -> np.ndarray:
+def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, step: int | None = None) -> np.ndarray:
     """The best label of every word, where each change of label within a document costs ``penalty``.
 
     Exact.  Max-plus products of blocks of ``step`` words run for all blocks at
     once, then one short pass per document joins the blocks.
     """
     n, k = scores.shape
+    # Blocks no shorter than the labels are many keep the products as small as the scores.
+    step = step or max(STEP, k)
+    small = np.uint8 if k <= 256 else np.uint32
     counts = np.diff(offsets)
     blocks = -(-counts // step)
     of_block = np.concatenate([[0], np.cumsum(blocks)])
@@ -218,13 +251,13 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, penalty: float, step: int =
         new = (state[live][:, :, None] + reach[at]).max(axis=1)
         state[live] = new - new.max(axis=1, keepdims=True)
 
-    back = np.empty((total, step, k), dtype=np.uint8)
-    current, own = entry, np.arange(k, dtype=np.uint8)
+    back = np.empty((total, step, k), dtype=small)
+    current, own = entry, np.arange(k, dtype=small)
     for t in range(step):
         top = current.argmax(axis=1)
         best = current[np.arange(total), top] - penalty
         stay = current >= best[:, None]
-        back[:, t] = np.where(stay, own, top[:, None])
+        back[:, t] = np.where(stay, own, top[:, None].astype(small))
         current = np.maximum(current, best[:, None]) + padded[:, t]
     origin = np.tile(own, (total, 1))
     for t in range(step - 1, -1, -1):
@@ -248,7 +281,8 @@ def _judge(model: Model, column: pa.Array, penalty: float) -> tuple[list[str], l
     names, shares, spans = [UNDETERMINED] * len(column), [0.0] * len(column), [[] for _ in range(len(column))]
     if not n or not len(text.letters):
         return names, shares, spans
-    labels = viterbi(model.scores(text), text.offsets, penalty)
+    columns, scores = model.scores(text)
+    labels = columns[viterbi(scores, text.offsets, penalty)]
     doc = np.repeat(np.arange(len(column)), np.diff(text.offsets))
     votes = np.bincount(doc * n + labels, weights=text.letters, minlength=len(column) * n).reshape(-1, n)
     total, best = votes.sum(axis=1), votes.argmax(axis=1)
