@@ -6,11 +6,14 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from wordloom.llm import chat, language, licenses, mixing, phrase_dedup
+from wordloom.llm import toxicity as tox
 from wordloom.llm import words as W
 from wordloom.llm.decontaminate import TestSuffixes, contamination, decontaminated, longest_matches, matches
 from wordloom.llm.fingerprint import fingerprints
@@ -444,6 +447,39 @@ def test_toxicity(spark, docs, empty):
     assert not any(r.toxic for r in toxicity(table, none, "toxic").collect())
 
 
+def test_chain_against_brute_force():
+    """The chain's probabilities and threshold once more in plain Python."""
+    rng = np.random.default_rng(3)
+    n = 300
+    lists = [np.unique(rng.integers(0, 40, size=rng.integers(1, 12))) for _ in range(n)]
+    first = np.array([float(5 in x or rng.random() < 0.05) for x in lists])
+    second = np.array([float((7 in x and a > 0) or rng.random() < 0.02) for x, a in zip(lists, first, strict=True)])
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    chain = tox.fit_chain(np.concatenate(lists), offsets, np.column_stack([first, second]), ["one", "two"])
+    p = chain.probabilities(np.concatenate(lists), offsets)
+    for i, x in enumerate(lists):
+        earlier = []
+        for model in chain.models:
+            z = model.bias + sum(model.weights[b] for b in x) + sum(w * e for w, e in zip(model.extra, earlier, strict=True))
+            earlier.append(1 / (1 + np.exp(-z)))
+        assert p[i] == pytest.approx(earlier)
+    score, y = rng.integers(0, 20, 200) / 20, rng.random(200) < 0.3
+    f = lambda t: 5 * (y & (score >= t)).sum() / ((score >= t).sum() + 4 * y.sum())
+    assert f(tox.best_threshold(score, y)) == pytest.approx(max(f(t) for t in np.unique(score)))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="needs the driver's tables")
+def test_toxicity_of_held_out_documents(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    docs, labels = read("documents"), read("labels")
+    inside = F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0
+    chain = train(docs, labels.where(inside), {"low_quality": "1 - quality", "toxic": "toxic"})
+    rows = toxicity(docs, chain, "toxic").join(labels.where(~inside).select("doc_id", F.col("toxic").alias("truth")), "doc_id").collect()
+    hits, flagged, bad = sum(r.toxic and r.truth for r in rows), sum(r.toxic for r in rows), sum(r.truth for r in rows)
+    print(f"held out: {len(rows)} rows, {bad} toxic, recall {hits / bad:.3f}, precision {hits / flagged:.3f}, thresholds {chain.thresholds}")
+    assert hits >= 0.9 * bad and hits >= 0.9 * flagged
+
+
 def test_licenses(spark, empty):
     mit = dict(licenses.TEMPLATES)["MIT"]
     rows = [(1, None), (2, ""), (3, "hello\nReleased under the MIT License.\nworld"), (4, "x " * 3000 + "\nLicensed under CC BY-NC 4.0.\nreleased under  the MIT license"), (5, mit.upper()), (5, mit.upper()), (6, "under the License")]

@@ -4,17 +4,21 @@ The categories are predicted in order.  Each has a linear model (logistic
 regression) over hashed words and word beginnings, plus one input per earlier category: that
 category's probability.  In training, these probabilities are out of fold: they
 come from models that did not see the row, so later models learn from inputs as
-uncertain as those they meet in prediction.
+uncertain as those they meet in prediction.  A category's threshold is the one
+with the best F-measure of its out-of-fold probabilities, recall counting
+``RECALL`` times as much as precision.
 
 Scale: training rows are a sample of about ``SAMPLE`` labelled rows (a documented
-bound, drawn by hash of the text), gathered as word numbers; prediction is one
-pass over the documents without shuffle.  Models have ``BUCKETS`` weights.
+bound, drawn by hash of the doc_id).  Tasks count their word numbers first, and
+only those that tell the labels apart are gathered, so long texts cost the driver
+little; prediction is one pass over the documents without shuffle.  Models have
+``BUCKETS`` weights.
 
 Defined results: a null or blank text has no words and gets the bias' probability;
 rows of ``labels`` that share a doc_id count as 1 in a category if any does, rows
 without a label in a category are left out of its training; without any label of
-both kinds, a category's probability is the share of 1 (0 without rows).  Rows
-are judged one by one; extra columns are ignored.
+both kinds, a category's probability is the share of 1 (0 without rows) and its
+threshold 0.5.  Rows are judged one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm import words as W
+from wordloom.llm.store import written
 
 BUCKETS = 1 << 18
 SAMPLE = 16_000
@@ -42,7 +48,10 @@ DECAY = 1e-6
 LEAST_ROWS = 3
 #: ... and its share of the label differs from all rows' by this many standard errors.
 LEAST_STRENGTH = 5.0
-THRESHOLD = 0.5
+#: ... and this many, in all rows, to be gathered at all.
+LEAST_GATHERED = 3.0
+#: The threshold where nothing can be learned, and recall's weight in choosing others.
+THRESHOLD, RECALL = 0.5, 2.0
 _FINE = 1 << 40
 
 
@@ -136,6 +145,7 @@ def fit_linear(rows: Rows, y: np.ndarray, seed: int = 7) -> Linear:
 class Chain:
     categories: list[str]
     models: list[Linear]
+    thresholds: list[float]
 
     def probabilities(self, buckets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """One column per category; each model sees the columns before its own."""
@@ -145,22 +155,64 @@ class Chain:
         return out
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Midway between the probabilities where the F-measure is best; of equals the highest."""
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order] > 0
+    last = np.flatnonzero(np.append(p[1:] != p[:-1], True)) if len(p) else np.zeros(0, np.int64)
+    if not len(p) or not y.any() or y.all():
+        return THRESHOLD
+    hits, square = np.cumsum(y)[last], RECALL**2
+    k = int(np.argmax((1 + square) * hits / (last + 1 + square * y.sum())))
+    return float((p[last[k]] + (p[last[k] + 1] if last[k] + 1 < len(p) else 0.0)) / 2)
+
+
 def fit_chain(buckets: np.ndarray, offsets: np.ndarray, labels: np.ndarray, categories: list[str]) -> Chain:
     """Trains the chain; ``labels`` has one column per category, NaN where unknown."""
-    n, models = len(offsets) - 1, []
+    n, models, thresholds = len(offsets) - 1, [], []
     earlier = np.zeros((n, 0))
     fold = np.arange(n) % FOLDS
     for c in range(len(categories)):
         rows, y = Rows(buckets, offsets, earlier), labels[:, c]
         known = ~np.isnan(y)
         models.append(fit_linear(rows if known.all() else rows.take(np.flatnonzero(known)), y[known]))
-        if c + 1 < len(categories):
-            out = np.zeros(n)
-            for f in range(FOLDS):
-                inner, outer = np.flatnonzero(known & (fold != f)), np.flatnonzero(fold == f)
-                out[outer] = fit_linear(rows.take(inner), y[inner]).probability(rows.take(outer))
-            earlier = np.column_stack([earlier, out])
-    return Chain(categories, models)
+        out = np.zeros(n)
+        for f in range(FOLDS):
+            inner, outer = np.flatnonzero(known & (fold != f)), np.flatnonzero(fold == f)
+            out[outer] = fit_linear(rows.take(inner), y[inner]).probability(rows.take(outer))
+        thresholds.append(best_threshold(out[known], y[known]))
+        earlier = np.column_stack([earlier, out])
+    return Chain(categories, models, thresholds)
+
+
+def _telling(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """Which buckets enough rows have, with a share of some label that differs from all rows' share."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, hits, known = np.zeros(BUCKETS, np.int64), np.zeros((len(names), BUCKETS), np.int64), np.zeros((len(names), BUCKETS), np.int64)
+        for batch in batches:
+            lists = batch.column("buckets")
+            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            seen += np.bincount(values, minlength=BUCKETS)
+            for k, c in enumerate(names):
+                y = np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(float), sizes)
+                known[k] += np.bincount(values[~np.isnan(y)], minlength=BUCKETS)
+                hits[k] += np.bincount(values[y > 0], minlength=BUCKETS)
+        some = np.flatnonzero(seen)
+        columns = [pa.array(some), *(pa.array(x[some]) for x in (*known, *hits))]
+        yield pa.RecordBatch.from_arrays(columns, names=["bucket", *(f"n{k}" for k in range(len(names))), *(f"y{k}" for k in range(len(names)))])
+
+    fields = [f"{x}{k}" for x in "ny" for k in range(len(names))]
+    sums = rows.select("buckets", *names).mapInArrow(count, "bucket long, " + ", ".join(f"{x} long" for x in fields)).groupBy("bucket").agg(*[F.sum(x).alias(x) for x in fields])
+    shares = rows.agg(*[F.avg(c).alias(c) for c in names]).first()
+    found, out = sums.toArrow(), np.zeros(BUCKETS, dtype=bool)
+    bucket = found.column("bucket").to_numpy()
+    for k, c in enumerate(names):
+        n, y, share = found.column(f"n{k}").to_numpy(), found.column(f"y{k}").to_numpy(), shares[c]
+        if share is not None and 0 < share < 1:
+            strength = np.abs(y - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
+            out[bucket[(n >= LEAST_ROWS) & (strength >= LEAST_GATHERED)]] = True
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain:
@@ -178,16 +230,21 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
                 values, offsets = word_buckets(W.split(part.column("text"), W.ALNUM_LOWER))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), W.grouped(values.astype(np.int32), offsets, pa.int32()), *[part.column(c) for c in names]], names=["doc_id", "buckets", *names])
 
-    table = rows.mapInArrow(run, "doc_id long, buckets array<int>, " + ", ".join(f"{c} double" for c in names)).toArrow()
-    # Buckets of too few rows enter no model: they go before anything is copied.
-    chunks = [(c.flatten().to_numpy(zero_copy_only=False), np.diff(c.offsets.to_numpy())) for c in table.column("buckets").chunks]
-    seen = sum((np.bincount(b, minlength=BUCKETS) for b, _ in chunks), np.zeros(BUCKETS, dtype=np.int64))
-    parts, sizes = [], []
-    for b, n in chunks:
-        keep = seen[b] >= LEAST_ROWS
-        ends = np.concatenate([[0], np.cumsum(keep)])
-        parts.append(b[keep])
-        sizes.append(np.diff(ends[np.concatenate([[0], np.cumsum(n)])]))
+    typed = ", ".join(f"{c} double" for c in names)
+    rows = written(rows.mapInArrow(run, "doc_id long, buckets array<int>, " + typed), "toxicity-rows")
+    telling = rows.sparkSession.sparkContext.broadcast(_telling(rows, names))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("buckets")
+            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            stays = telling.value[values]
+            offsets = np.concatenate([[0], np.cumsum(stays)])[np.concatenate([[0], np.cumsum(sizes)])]
+            yield batch.set_column(1, "buckets", W.grouped(values[stays], offsets, pa.int32()))
+
+    table = rows.mapInArrow(keep, "doc_id long, buckets array<int>, " + typed).toArrow()
+    chunks = [(c.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(c).to_numpy(zero_copy_only=False)) for c in table.column("buckets").chunks]
+    parts, sizes = [b for b, _ in chunks], [n for _, n in chunks]
     ids = table.column("doc_id").to_numpy()
     marked = np.column_stack([table.column(c).to_numpy().astype(float) for c in names])
     del table, chunks
@@ -201,8 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample
     return fit_chain(gathered.buckets, gathered.offsets, marked[order], names)
 
 
-def toxicity(docs: DataFrame, chain: Chain, flag: str, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: doc_id, p_<category> for each, and ``flag``: its probability reaches the threshold."""
+def toxicity(docs: DataFrame, chain: Chain, flag: str, threshold: float | None = None) -> DataFrame:
+    """Per document: doc_id, p_<category> for each, and ``flag``: its probability reaches the threshold (the chain's, if none is given)."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     names = [f"p_{c}" for c in chain.categories]
 
@@ -214,4 +271,4 @@ def toxicity(docs: DataFrame, chain: Chain, flag: str, threshold: float = THRESH
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(p[:, k].copy()) for k in range(p.shape[1])]], names=["doc_id", *names])
 
     judged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names))
-    return judged.withColumn(flag, F.col(f"p_{flag}") >= threshold)
+    return judged.withColumn(flag, F.col(f"p_{flag}") >= (chain.thresholds[chain.categories.index(flag)] if threshold is None else threshold))
