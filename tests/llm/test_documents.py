@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from wordloom.llm import chat, language, licenses, mixing, phrase_dedup
+from wordloom.llm import chat, fingerprint, language, licenses, mixing, phrase_dedup
 from wordloom.llm import toxicity as tox
 from wordloom.llm import words as W
 from wordloom.llm.decontaminate import TestSuffixes, contamination, decontaminated, longest_matches, matches
-from wordloom.llm.fingerprint import fingerprints
+from wordloom.llm.fingerprint import fingerprints, with_next
 from wordloom.llm.near_dedup import near_duplicates, one_of_each
 from wordloom.llm.phrase_dedup import deduplicated, substring_dedup
 from wordloom.llm.toxicity import toxicity, train
@@ -341,7 +341,8 @@ def test_mix_against_brute_force(docs):
 
 
 def test_fingerprints(docs, empty):
-    rows = sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rank = {r.text: r.h for r in docs.select(F.coalesce("text", F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(_texts(), key=lambda r: (r[0] is not None, r[0] or 0, rank[r[1] or ""]))
     texts = [t or "" for _, t in rows]
     want = defaultdict(list)
     for k, (i, _) in enumerate(rows):
@@ -360,6 +361,21 @@ def test_fingerprints(docs, empty):
     assert fingerprints(empty).count() == 0
 
 
+def test_neighbours_in_many_ranges(spark, monkeypatch):
+    """Small ranges on several levels, ids in clusters, and ids that many rows share, between others."""
+    monkeypatch.setattr(fingerprint, "RANGE_DOCS", 3)
+    monkeypatch.setattr(fingerprint, "RANGES", 4)
+    rng = random.Random(2)
+    ids = [*range(20), *range(10**12, 10**12 + 15), *[77] * 30, *[None] * 17, *[-5] * 9, 78, 76]
+    rows = [(i, f"t{rng.randrange(10**6)}") for i in ids]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rank = {r.text: r.h for r in table.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, rank[r[1]]))
+    nexts = {r: want[(k + 1) % len(want)][1] for k, r in enumerate(want)}
+    found = with_next(table, "doc_id", "text", {"n": F.length("text")}).collect()
+    assert len(found) == len(rows) and all(r.next_text == nexts[r.doc_id, r.text] and r.next_n == len(r.next_text) for r in found)
+
+
 def test_language(spark, docs, empty):
     rng = random.Random(1)
     vocabulary = {"en": ["the", "house", "with", "green", "water", "thing"], "fr": ["les", "maisons", "avec", "été", "une", "chose"], "el": ["το", "σπίτι", "νερό"]}

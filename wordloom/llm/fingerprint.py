@@ -7,14 +7,17 @@ all documents (optimal densification).  The fingerprint packs the ``BITS`` low
 bits of every bin in hexadecimal; as such bits also agree by chance, the
 likeness of two fingerprints is corrected for 2**-BITS.
 
-Scale: a document's fingerprint needs that document only.  Neighbours in doc_id
-order are found in ranges of some thousand documents, each of which also gets
-the first document of the next; no task sees more than a range.
+Scale: a document's fingerprint needs that document only, and is computed once.
+Neighbours in doc_id order are found in ranges of some thousand documents, each of
+which also gets the first document of the next; no task sees more than a range.
+Ranges lie between quantiles of quantiles, so that clustered ids share them too;
+rows of one doc_id (all null ones, say) are spread by a hash of their text.
 
 Defined results: a null text is empty; a text without words has an empty
 fingerprint, which is like another empty one (1) and unlike all others (0);
 fewer than five words are one shingle; words are lower-cased; documents are in
-order of doc_id (null first), then text; extra columns are ignored.
+order of doc_id (null first), then of a hash of the text, then text; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wordloom.llm.store import written
+from wordloom.llm.store import limited, written
 
 SHINGLE_WORDS = 5
 BINS = 256
 BITS = 8
-#: Documents of a range, on average, and the first-level ranges.
+#: Documents of a range, on average, and the ranges that each level is cut into at most.
 RANGE_DOCS = 4_000
 RANGES = 256
 #: Bins that an empty one looks at before it ranks all non-empty bins.
@@ -121,33 +124,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both, corrected).when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def with_next(docs: DataFrame, id_: str, columns: list[str], ties: str) -> DataFrame:
-    """Adds ``next_<column>`` from the next row in order of ``id_`` (after the last: the first)."""
-    n = docs.count()
-    known = docs.withColumn("_key", F.coalesce(F.col(id_), F.lit(-(1 << 63))))
-    ranges = max(1, min(RANGES, -(-n // RANGE_DOCS)))
-    marks = known.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)] or [0.5], 10_000).alias("q"), F.min("_key").alias("low"), F.max("_key").alias("high")).first()
-    if marks["low"] is None:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    bounds = sorted({marks["low"], *(marks["q"] if ranges > 1 else [])})
-    parts = max(1, -(-n // (RANGE_DOCS * len(bounds))))
-    # Two levels: between quantiles, then equal widths within.
-    level = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_key"))) - 1
-    low, high = (F.get(F.array(*[F.lit(b) for b in x]), F.col("_a")) for x in (bounds, [*bounds[1:], marks["high"] + 1 if marks["high"] < (1 << 63) - 1 else marks["high"]]))
-    width = F.greatest(F.lit(1.0), (high.cast("double") - low.cast("double")) / parts)
-    inner = F.least(F.lit(parts - 1), F.floor((F.col("_key").cast("double") - low.cast("double")) / width)).cast("int")
-    placed = known.withColumn("_a", level).withColumn("_b", inner)
-    firsts = placed.groupBy("_a", "_b").agg(F.min("_key").alias("_key"))
-    # One row per range: its first id goes to the range before as a guest.
-    order = Window.orderBy("_a", "_b")
-    whole = Window.orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag(F.struct("_a", "_b")).over(order), F.last(F.struct("_a", "_b")).over(whole))
-    hosts = written(firsts.withColumn("_host", before).select("_key", F.col("_host._a").alias("_a"), F.col("_host._b").alias("_b")), "next-hosts")
-    guests = known.join(F.broadcast(hosts), "_key").withColumn("_guest", F.lit(1))
-    rows = placed.withColumn("_guest", F.lit(0)).unionByName(guests)
-    along = Window.partitionBy("_a", "_b").orderBy("_guest", "_key", ties)
-    out = rows.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns})
-    return out.where("_guest = 0").drop("_key", "_a", "_b", "_guest")
+def _cut(rows: DataFrame, level: str, by: list[str]) -> DataFrame:
+    """Adds ``level``: each group's rows in ranges of ``_key`` of about ``RANGE_DOCS``, ``RANGES`` at most."""
+    quantiles = F.expr(f"percentile_approx(_key, array({', '.join(f'{i / RANGES}D' for i in range(RANGES))}), {10 * RANGES})")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), quantiles.alias("_q")).where("_n > 0")
+    # Of the fine quantiles every so many, as many as the group has ranges.
+    want = F.least(F.lit(RANGES), F.ceil(F.col("_n") / RANGE_DOCS)).cast("int")
+    bounds = F.array_distinct(F.transform(F.sequence(F.lit(0), want - 1), lambda i: F.get("_q", F.floor(i * RANGES / want).cast("int"))))
+    sizes = written(sizes.select(*by, bounds.alias("_bounds")), "next-bounds")
+    joined = rows.join(limited(sizes, 16 * RANGES), by) if by else rows.join(F.broadcast(sizes))  # one row
+    return joined.withColumn(level, F.greatest(F.lit(0), F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))) - 1)).drop("_bounds")
+
+
+def with_next(docs: DataFrame, id_: str, text: str, derived: dict[str, Column]) -> DataFrame:
+    """Adds ``derived`` columns, and ``next_<column>`` of them and the text from the next row in order of ``id_`` (after the last: the first)."""
+    lowest = -(1 << 63)
+    known = docs.withColumns({"_key": F.coalesce(F.col(id_), F.lit(lowest)), "_tie": F.xxhash64(text)})
+    placed, levels, reach = known, [], docs.count()
+    while not levels or reach > RANGE_DOCS:
+        placed = _cut(placed, f"_l{len(levels)}", levels)
+        levels, reach = [*levels, f"_l{len(levels)}"], reach / RANGES
+    # An id of many rows is spread once more, by its ties; the rows after it in its range come behind its parts.
+    counts = placed.groupBy(*levels, "_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 2 * RANGE_DOCS)
+    many = counts.groupBy(*levels).agg(F.collect_list(F.struct(F.col("_key").alias("key"), F.ceil(F.col("_n") / RANGE_DOCS).cast("int").alias("parts"))).alias("_many"))
+    placed = placed.join(limited(written(many, "next-many")), levels, "left").withColumn("_many", F.array_max(F.filter("_many", lambda m: m["key"] <= F.col("_key"))))
+    part = F.least(F.col("_many.parts") - 1, F.floor((F.col("_tie").cast("double") / 2.0**64 + 0.5) * F.col("_many.parts")).cast("int"))
+    inner = F.when(F.col("_many.key") == F.col("_key"), part).otherwise(F.when(F.col("_many").isNotNull(), F.col("_many.parts")).otherwise(F.lit(0)))
+    placed = placed.withColumn("_at", F.struct(*levels, F.coalesce("_many.key", F.lit(lowest)).alias("many"), inner.alias("part")))
+    firsts = written(placed.groupBy("_l0", "_at").agg(F.min(F.struct("_key", "_tie")).alias("_first")), "next-firsts")
+    # A range's first row goes to the range before as a guest: found by a window within the first level, by the last ranges across.
+    before = F.lag("_at").over(Window.partitionBy("_l0").orderBy("_at"))
+    ends = firsts.groupBy("_l0").agg(F.max("_at").alias("_last")).orderBy("_l0").collect()  # at most RANGES rows
+    crossing = [(r["_l0"], tuple(ends[k - 1]["_last"])) for k, r in enumerate(ends)]
+    crossing = docs.sparkSession.createDataFrame(crossing, f"_l0 int, _end {firsts.schema['_at'].dataType.simpleString()}")
+    hosts = firsts.withColumn("_host", before).join(F.broadcast(crossing), "_l0").select("_first._key", "_first._tie", F.coalesce("_host", "_end").alias("_at"))
+    guests = known.join(limited(written(hosts, "next-hosts")), ["_key", "_tie"]).dropDuplicates(["_at"])
+    names = [*docs.columns, "_key", "_tie", "_at", "_guest"]
+    rows = placed.withColumn("_guest", F.lit(0)).select(*names).union(guests.withColumn("_guest", F.lit(1)).select(*names))
+    along = Window.partitionBy("_at").orderBy("_guest", "_key", "_tie", text)
+    out = rows.withColumns(derived).withColumns({f"next_{c}": F.lead(c).over(along) for c in (text, *derived)})
+    return out.where("_guest = 0").drop("_key", "_tie", "_at", "_guest")
 
 
 def edited(text: Column, n_chars: Column, following: Column) -> Column:
@@ -159,7 +175,7 @@ def edited(text: Column, n_chars: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, its edited text's, and likenesses to that and to the next document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(plain.withColumn("mark", signature(F.col("text"))), "doc_id", ["text", "mark"], "text")
+    rows = with_next(plain, "doc_id", "text", {"mark": signature(F.col("text"))})
     n_chars = F.char_length("text").cast("long")
     rows = rows.select("doc_id", n_chars.alias("n_chars"), "mark", "next_mark", edited(F.col("text"), n_chars, F.col("next_text")).alias("edited"))
     rows = rows.withColumn("edited_mark", signature(F.col("edited")))
