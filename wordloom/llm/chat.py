@@ -59,6 +59,22 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
+def oracle(added: str) -> str:
+    """``conversation_digests`` in DuckDB's SQL, with the rows of conversation -7 that say ``added``; for known roles."""
+    said = added.replace("'", "''")
+    name = "CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END"
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}')),
+r AS (SELECT *, {name} AS name, contains(text, '</turn>') OR contains(text, '###') AS escaped,
+  replace(replace(replace(replace(text, '\', '\\'), chr(10), '\n'), '</', '<\/'), '##', '#\#') AS body FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = '{LEARNED}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{LEARNED}'), '')) AS loss_sha256,
+  sum(CASE WHEN escaped THEN 5 + length(body) ELSE 4 + length(text) END + length(name) + {len(NAME_END) + len(CLOSE) + 1})::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+
 def parse(rendered: str) -> list[tuple[str, str]] | None:
     """The turns of a rendered conversation; None if it breaks the grammar."""
     turns, at = [], 0
@@ -117,7 +133,10 @@ class _Conversation:
 
     def add(self, rendered: str, begin: int, end: int, learned: bool) -> None:
         self.chars += len(rendered)
-        for role, text in parse(rendered) or []:
+        turns = parse(rendered)
+        if turns is None:
+            raise ValueError("a rendered turn breaks the grammar")
+        for role, text in turns:
             self.n_turns += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
         if learned:

@@ -321,13 +321,13 @@ def oracle(window: int = WINDOW_WORDS) -> str:
     words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
     return f"""
 WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL),
-t AS (SELECT item_id, k, at, array_to_string(w[at:at + k - 1], ' ') AS win FROM (SELECT *, least(len(w), {window}) AS k, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS at FROM b WHERE len(w) > 0)),
+t AS (SELECT item_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS win FROM (SELECT *, least(len(w), {window}) AS k, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS pos FROM b WHERE len(w) > 0)),
 s AS (SELECT DISTINCT k FROM t),
-p AS (SELECT doc_id, k, at, array_to_string(w[at:at + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS at FROM d, s)),
-m AS (SELECT doc_id, item_id, p.k, p.at, p.at - t.at AS diagonal FROM p JOIN t ON p.k = t.k AND p.win = t.win),
-r AS (SELECT DISTINCT *, at - dense_rank() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY at) AS run FROM m),
+p AS (SELECT doc_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS pos FROM d, s)),
+m AS (SELECT doc_id, item_id, p.k, p.pos, p.pos - t.pos AS diagonal FROM p JOIN t ON p.k = t.k AND p.win = t.win),
+r AS (SELECT DISTINCT *, pos - dense_rank() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY pos) AS run FROM m),
 l AS (SELECT doc_id, count(*) + max(k) - 1 AS n FROM r GROUP BY doc_id, item_id, diagonal, run),
-h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + k)) AS place FROM (SELECT DISTINCT doc_id, at, k FROM m)) GROUP BY doc_id),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS place FROM (SELECT DISTINCT doc_id, pos, k FROM m)) GROUP BY doc_id),
 i AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS digest FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(digest, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN (SELECT doc_id, max(n) AS longest FROM l GROUP BY doc_id) USING (doc_id)

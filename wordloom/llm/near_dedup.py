@@ -254,3 +254,18 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
+
+
+def oracle(percent: int = PERCENT, k: int = SHINGLE_WORDS) -> str:
+    """``near_duplicates`` in DuckDB's SQL: all pairs that share a shingle, then the least id along links."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + {k - 1}], ' ') AS x FROM (SELECT *, unnest(range(1, greatest(len(w) - {k - 1}, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept
+FROM (SELECT a AS doc_id, min(c)::BIGINT AS component_id FROM r GROUP BY a) c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

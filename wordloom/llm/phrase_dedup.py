@@ -362,9 +362,9 @@ def oracle(window: int = WINDOW) -> str:
     """``substring_dedup`` in DuckDB's SQL, window by window."""
     return f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, at, array_to_string(w[at:at + {window - 1}], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - {window} + 2)) AS at FROM d)),
+p AS (SELECT doc_id, pos, array_to_string(w[pos:pos + {window - 1}], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - {window} + 2)) AS pos FROM d)),
 f AS (SELECT win, min(doc_id) AS low FROM p GROUP BY win),
-g AS (SELECT DISTINCT doc_id, unnest(range(at, at + {window})) AS place FROM p JOIN f USING (win) WHERE doc_id > low),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + {window})) AS place FROM p JOIN f USING (win) WHERE doc_id > low),
 k AS (SELECT doc_id, list(place) AS gone FROM g GROUP BY doc_id),
 o AS (SELECT doc_id, w, coalesce(len(gone), 0) AS n, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]) END AS rest FROM d LEFT JOIN k USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(rest, ' ')) AS kept_sha256 FROM o

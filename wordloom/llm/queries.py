@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm import chat, decontaminate, near_dedup, phrase_dedup
 from wordloom.llm.chat import conversation_digests
 from wordloom.llm.decontaminate import contamination
 from wordloom.llm.fingerprint import fingerprints
@@ -91,4 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op6_license_scan": license_sql()}
+ORACLES: dict[str, str] = {
+    "op3_benchmark_decontamination": decontaminate.oracle(),
+    "op5_minhash_near_dedup": near_dedup.oracle(),
+    "op6_license_scan": license_sql(),
+    "op8_substring_dedup": phrase_dedup.oracle(),
+    "op9_chat_formatting": chat.oracle(CONTROL_TEXT),
+}

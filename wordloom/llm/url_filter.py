@@ -133,6 +133,8 @@ def filtered(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, st
     hits = written(matched(urls.select("tokens").distinct(), limited(found, 100_000)), "url-hits")
     host, path = parts(F.col("url"))
     name, verdict = listed(F.col("host"), F.col("path"), rules)
-    judged = urls.join(hits, "tokens", "left").select("page_id", host.alias("host"), path.alias("path"), "confidence")
+    # URLs without tokens have one key in common and take no part in the join.
+    bare = urls.where("size(tokens) = 0").withColumn("confidence", F.lit(None).cast("double"))
+    judged = urls.where("size(tokens) > 0").join(hits, "tokens", "left").unionByName(bare).select("page_id", host.alias("host"), path.alias("path"), "confidence")
     mined = F.when(F.col("confidence").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, mined).alias("verdict"), F.col("confidence").alias("mined_confidence"))
