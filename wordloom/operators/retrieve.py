@@ -13,12 +13,15 @@ from wordloom.functions.normalize import normalize_arabic, strip_prefix
 from wordloom.functions.similarity import in_set
 from wordloom.functions.tokens import content_tokens
 from wordloom.operators.align import alignment
+from wordloom.sources.staged import limited, written
 from wordloom.vocab import retrieval
 
 RARE_SHARE, LONG_TERM = 0.0075, 6
 RARE, GENERIC, NORMAL, WEAK = 25.0, 1.0, 3.0, 0.1
 DAMPED, COMMENTARY = 0.25, 0.5
 CANDIDATES = 150
+#: Terms of all questions that may be broadcast.
+BROADCAST_TERMS = 500_000
 LEAST_SCORE, PARTIAL, LEXICAL, ALIGNED = 15.0, 0.40, 0.70, 0.50
 EVIDENCE_TOKENS, EVIDENCE_CARDS = 260, 5
 
@@ -50,7 +53,9 @@ def term_classes(terms: DataFrame, frequencies: DataFrame, documents: int) -> Da
 
 def keyword_hits(classes: DataFrame, postings: DataFrame, key: str = "doc_id") -> DataFrame:
     """query_id, document, hits and rare: documents with two hits or a rare one, the best 150 a query."""
-    hits = postings.join(classes.where(~F.col("weak")).select("query_id", F.col("term").alias("token"), "rare"), "token")
+    # The classes are the questions' side; counted as few they go to the postings, whose documents then need no shuffle to be summed up.
+    strong = limited(written(classes.where(~F.col("weak")).select("query_id", F.col("term").alias("token"), "rare"), "question-terms"), BROADCAST_TERMS)
+    hits = postings.join(strong, "token")
     out = hits.groupBy("query_id", key).agg(F.count("*").alias("hits"), F.bool_or("rare").alias("rare")).where((F.col("hits") >= 2) | F.col("rare"))
     order = Window.partitionBy("query_id").orderBy(F.desc("rare"), F.desc("hits"), key)
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
@@ -63,12 +68,16 @@ def weighted_scores(found: DataFrame, classes: DataFrame, documents: DataFrame,
     quarter; two distinct terms that are not weak, a rare one or a bonus admit.
     """
     terms = classes.groupBy("query_id").agg(F.collect_list(F.struct("term", "weight", "rare", "weak")).alias("terms"))
-    rows = found.select("query_id", key).join(documents, key).join(terms, "query_id")
-    add = lambda text: F.aggregate(F.filter("terms", lambda t: F.contains(text, t["term"])), F.lit(0.0), lambda a, t: a + t["weight"])
-    inside = F.filter("terms", lambda t: F.contains(F.col("body"), t["term"]) | F.contains(F.coalesce("commentary", F.lit("")), t["term"]))
+    # Few rows are much work here: they are dealt to all tasks.  Each text is searched once per term.
+    spark = found.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    rows = found.select("query_id", key).repartition(tasks, "query_id", key).join(documents, key).join(terms, "query_id")
+    looked = F.transform("terms", lambda t: F.struct(t["weight"].alias("weight"), t["rare"].alias("rare"), t["weak"].alias("weak"), t["term"].alias("term"), F.contains(F.col("body"), t["term"]).alias("b"), F.coalesce(F.contains(F.col("commentary"), t["term"]), F.lit(False)).alias("c")))
+    rows = rows.select("query_id", key, "bonus", looked.alias("looked")).select("query_id", key, "bonus", F.filter("looked", lambda t: t["b"] | t["c"]).alias("hits"))
+    add = lambda side: F.aggregate(F.filter("hits", lambda t: t[side]), F.lit(0.0), lambda a, t: a + t["weight"])
     scored = rows.select(
-        "query_id", key, "bonus", (add(F.col("body")) + add(F.coalesce("commentary", F.lit(""))) * COMMENTARY + F.col("bonus")).alias("raw"),
-        F.exists(inside, lambda t: t["rare"]).alias("has_rare"), F.size(F.array_distinct(F.transform(F.filter(inside, lambda t: ~t["weak"]), lambda t: t["term"]))).alias("terms"),
+        "query_id", key, "bonus", (add("b") + add("c") * COMMENTARY + F.col("bonus")).alias("raw"),
+        F.exists("hits", lambda t: t["rare"]).alias("has_rare"), F.size(F.array_distinct(F.transform(F.filter("hits", lambda t: ~t["weak"]), lambda t: t["term"]))).alias("terms"),
     )
     plain = ~F.col("has_rare") & (F.col("bonus") == 0)
     scored = scored.withColumn("score", F.when(plain, F.col("raw") * DAMPED).otherwise(F.col("raw")))

@@ -12,8 +12,10 @@ from wordloom.functions.core import words
 from wordloom.functions.normalize import normalize_english, strip_tags
 from wordloom.functions.tokens import bigrams, local_terms
 from wordloom.operators import evalkit, index, quota, record_match, retrieve, verse_match
-from wordloom.operators.align import alignment, best_window, dense_quote, lcs_length
+from wordloom.operators.align import best_window, dense_quote, lcs_length
+from wordloom.operators.align_batch import with_alignment
 from wordloom.plans import search
+from wordloom.sources.staged import written
 from wordloom.vocab import retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,13 +237,13 @@ def best_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def align_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _met(spark, sf_dir).withColumn("a", alignment(F.col("ask"), best_window(F.col("ask"), F.col("full"))))
+    out = with_alignment(_met(spark, sf_dir).select("query_id", "record_id", "ask", "full"), "ask", "full", "a", ["query_id", "record_id"])
     return out.select("query_id", "record_id", "a.confidence", "a.exact", "a.near", "a.gone", "a.extra")
 
 
 @_query()
 def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_records(_phrases(spark, sf_dir), _documents(spark, sf_dir)).select("query_id", "record_id", "confidence", "state", "place")
+    return search.search_records(_phrases(spark, sf_dir), written(_documents(spark, sf_dir), "records")).select("query_id", "record_id", "confidence", "state", "place")
 
 
 @_query()
@@ -260,7 +262,7 @@ x AS (SELECT target, id, shared, list_max(list_transform(range(0, len(s) - len(q
   WHEN 1 - levenshtein(q[i], s[i + j])::DOUBLE / greatest(len(q[i]), len(s[i + j])) >= 0.70 THEN 1 - levenshtein(q[i], s[i + j])::DOUBLE / greatest(len(q[i]), len(s[i + j])) ELSE 0.0 END)) / len(q) * 100 + 0.5))) / 100.0 AS ratio FROM m)
 SELECT target, id AS record_id, shared, ratio::DOUBLE AS ratio FROM x WHERE ratio >= 0.80""")
 def attestation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _documents(spark, sf_dir).select("record_id", "matn")
+    rows = written(_documents(spark, sf_dir).select("record_id", "matn"), "records")
     return record_match.attestations(rows, rows).select("target", "record_id", "shared", "ratio")
 
 
@@ -288,7 +290,11 @@ def _classes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = _table(spark, sf_dir, "documents")
     posted = index.latin_postings(documents, "doc_id", "text")
     terms = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(local_terms(F.col("text")))).alias("term"))
-    return retrieve.term_classes(terms, index.document_frequencies(posted), documents.count()), posted
+    # Only postings of the questions' terms are dealt out; others hit nothing.
+    posted = posted.join(terms.select(F.col("term").alias("token")).distinct(), "token", "left_semi")
+    # Written, as filters on the classes would otherwise be inferred for, and run on, all postings.
+    classes = retrieve.term_classes(terms, index.document_frequencies(posted), documents.count())
+    return written(classes, "question-classes"), posted
 
 
 @_query(_CLASSES + "SELECT query_id, doc_id, hits, rare, place::INT AS place FROM r WHERE place <= 150")
