@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.store import written
 
+#: Edges whose least neighbours may be broadcast (about 100 MB in memory).
+BROADCAST_EDGES = 500_000
+
 
 def connected(edges: DataFrame) -> DataFrame:
     """The least id reachable from each id that has an edge: id, component.
@@ -17,12 +20,14 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     while not _stars(now):
+        # Counted as few, the least neighbours go to the edges, whose hubs then need no task of their own.
+        near = F.broadcast if now.count() <= BROADCAST_EDGES else lambda df: df
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(near(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = written(large.join(least, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "cc")
+        now = written(large.join(near(least), "u").select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct(), "cc")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 

@@ -49,9 +49,9 @@ from wordloom.llm.store import limited, unused, written
 WINDOW = 50
 PHRASE = 10
 #: Phrases of one automaton, about.
-AUTOMATON = 40_000
+AUTOMATON = 20_000
 #: Documents, about, that one task streams through a shard's automaton.
-PART_DOCS = 5_000
+PART_DOCS = 4_000
 #: Rows of several columns that may be broadcast (about 100 MB in memory).
 WIDE_ROWS = 1_000_000
 
