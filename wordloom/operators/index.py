@@ -21,12 +21,15 @@ def indexed_verses(verses: DataFrame, language: str) -> DataFrame:
 def word_stream(verses: DataFrame) -> DataFrame:
     """chapter, verse, place (in the verse), g (in the chapter), word: words run on across verse ends.
 
-    ``verses`` has chapter, verse and words.  Places come from the verses' word
-    counts, so that only one row per verse is ranked, not every word.
+    ``verses`` has chapter, verse and words and, if any, raw: the words' spellings,
+    which the stream then has too.  Places come from the verses' word counts, so
+    that only one row per verse is ranked, not every word.
     """
     before = Window.partitionBy("chapter").orderBy("verse").rowsBetween(Window.unboundedPreceding, -1)
     based = verses.withColumn("base", F.coalesce(F.sum(F.size("words")).over(before), F.lit(0)))
-    return based.select("chapter", "verse", "base", F.posexplode("words").alias("place", "word")).select("chapter", "verse", "place", (F.col("base") + F.col("place")).alias("g"), "word")
+    raw = ["raw"] if "raw" in verses.columns else []
+    rows = based.select("chapter", "verse", "base", *raw, F.posexplode("words").alias("place", "word"))
+    return rows.select("chapter", "verse", "place", (F.col("base") + F.col("place")).alias("g"), "word", *[F.get("raw", "place").alias("raw") for _ in raw])
 
 
 def stream_bigrams(verses: DataFrame) -> DataFrame:

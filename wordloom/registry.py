@@ -138,7 +138,18 @@ def phrase_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_anchor.union(documents.join(short, F.expr("instr(text, phrase) > 0")).select("doc_id", "item_id"))
 
 
-@_query()
+#: A client's requests in an hour, of three models.
+_CAP = quota.client_cap({"a": 16, "b": 16, "c": 480})
+_SCAN_STOPS = ", ".join(f"'{w}'" for w in retrieval.SCAN_STOP_WORDS)
+
+
+@_query(f"""WITH q AS (SELECT item_id AS query_id, {_norm("text")} AS ask FROM benchmark), d AS (SELECT doc_id, source, {_norm("text")} AS norm FROM documents WHERE text <> ''),
+c AS (SELECT *, list_filter({_words("ask")}, lambda w: w NOT IN ({_SCAN_STOPS})) AS content FROM q WHERE ask <> ''),
+m AS (SELECT *, contains(norm, ask) AS whole, split_part(list_reduce(list_prepend('0 0', content), lambda a, t: CASE WHEN instr(substr(norm, split_part(a, ' ', 1)::INT + 1), t) > 0
+  THEN (split_part(a, ' ', 1)::INT + instr(substr(norm, split_part(a, ' ', 1)::INT + 1), t))::VARCHAR || ' ' || (split_part(a, ' ', 2)::INT + 1)::VARCHAR ELSE a END), ' ', 2)::INT AS hits FROM c, d),
+s AS (SELECT query_id, doc_id AS record_id, source, CASE WHEN whole THEN 100 WHEN hits >= 2 AND hits / len(content) >= 0.5 THEN least(89, floor(hits / len(content) * 100 + 0.5)::INT) ELSE 0 END AS confidence FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, record_id) AS k FROM s WHERE confidence >= 70)
+SELECT query_id, record_id, confidence, CASE WHEN confidence >= 90 THEN 'matched' ELSE 'close_match' END AS state FROM r WHERE k <= 10""")
 def greedy_in_order_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     records = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), F.col("source").alias("collection"), F.col("doc_id").alias("number"), "text")
@@ -187,10 +198,18 @@ def verse_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "chapter", "start", "verse", F.col("taken").cast("int").alias("taken"), "n")
 
 
-@_query()
+@_query(_WINDOWS + """, m AS (SELECT query_id, chapter, st, confidence, start_verse, end_verse FROM t WHERE top >= 70 AND confidence >= greatest(70, top - 3)),
+hit AS (SELECT query_id, chapter, st, verse, count(*) FILTER (score >= 0.4) AS taken, sum(score) AS score FROM z GROUP BY ALL),
+o AS (SELECT m.query_id, m.chapter, m.st, start_verse, confidence, count(*) AS verses, sum(coalesce(taken, 0)) AS taken, sum(len(ws)) AS n, bool_and(coalesce(taken, 0) / len(ws) >= 0.85) AS each, sum(coalesce(score, 0)) AS score
+  FROM m JOIN b ON m.chapter = b.chapter AND b.verse BETWEEN start_verse AND end_verse AND len(ws) > 0 LEFT JOIN hit h ON h.query_id = m.query_id AND h.chapter = m.chapter AND h.st = m.st AND h.verse = b.verse GROUP BY ALL),
+f AS (SELECT *, CASE WHEN verses = 1 THEN taken / n >= 0.85 OR 8 >= 0.85 * n ELSE each END AS whole FROM o),
+e AS (SELECT *, whole AND taken = 8 AND score = 8 AND confidence >= 90 AS same FROM f),
+u AS (SELECT *, CASE WHEN same THEN confidence ELSE least(89, confidence) END AS shown FROM e)
+SELECT query_id, chapter, st::INT AS start, shown::INT AS confidence, CASE WHEN whole THEN 'full' ELSE 'fragment' END AS coverage, CASE WHEN same THEN 'matched' ELSE 'close_match' END AS state,
+  row_number() OVER (PARTITION BY query_id ORDER BY whole DESC, shown DESC, chapter, start_verse, st)::INT AS place FROM u""")
 def verse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = verse_match.match_verses(_slices(spark, sf_dir), _verses(spark, sf_dir), similarity.english_similarity)
-    return out.select("query_id", "chapter", "start", "confidence", "coverage", "state", "place")
+    return out.select("query_id", "chapter", F.col("start").cast("int").alias("start"), "confidence", "coverage", "state", "place")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,11 +245,15 @@ def _met(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(asked, "query_id").join(_documents(spark, sf_dir), "record_id")
 
 
-@_query(_CANDIDATES + f""", b AS (SELECT t.query_id, t.record_id, {_words(_norm("i.text"))} AS q, {_words(_norm("d.text"))} AS s FROM t JOIN benchmark i ON i.item_id = t.query_id JOIN documents d ON d.doc_id = t.record_id WHERE place = 1),
+_PART = f""", b AS (SELECT t.query_id, t.record_id, {_words(_norm("i.text"))} AS q, {_words(_norm("d.text"))} AS s FROM t JOIN benchmark i ON i.item_id = t.query_id JOIN documents d ON d.doc_id = t.record_id WHERE place = 1),
 h AS (SELECT *, list_transform(s, lambda w: list_contains(q, w)::INT) AS hits FROM b),
 m AS (SELECT *, -list_max(list_transform(range(0, len(s) - len(q) + 1), lambda i: list_sum(hits[i + 1:i + len(q)]) * 1000000 - i)) % 1000000 AS raw FROM h),
-a AS (SELECT *, CASE WHEN raw < 0 THEN raw + 1000000 ELSE raw END AS st FROM m)
-SELECT query_id, record_id, array_to_string(CASE WHEN len(s) <= len(q) + 8 THEN s ELSE s[greatest(0, st - 4)::INT + 1:least(len(s), st + len(q) + 6)::INT] END, ' ') AS part FROM a""")
+a AS (SELECT *, CASE WHEN raw < 0 THEN raw + 1000000 ELSE raw END AS st FROM m),
+part AS (SELECT query_id, record_id, q, CASE WHEN len(s) <= len(q) + 8 THEN s ELSE s[greatest(0, st - 4)::INT + 1:least(len(s), st + len(q) + 6)::INT] END AS part FROM a)
+"""
+
+
+@_query(_CANDIDATES + _PART + "SELECT query_id, record_id, array_to_string(part, ' ') AS part FROM part")
 def best_window_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _met(spark, sf_dir).select("query_id", "record_id", F.array_join(best_window(F.col("ask"), F.col("full")), " ").alias("part"))
 
@@ -246,7 +269,9 @@ def record_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_records(_phrases(spark, sf_dir), written(_documents(spark, sf_dir), "records")).select("query_id", "record_id", "confidence", "state", "place")
 
 
-@_query()
+@_query(_CANDIDATES + _PART + """, rows AS (SELECT query_id, record_id, list_prepend(list_transform(part, lambda w: 0), list_transform(q, lambda x: list_transform(part, lambda w: (w = x)::INT))) AS h FROM part),
+last AS (SELECT query_id, record_id, list_reduce(h, lambda p, x: list_transform([list_transform(x, lambda v, j: greatest((CASE WHEN j > 1 THEN p[j - 1] ELSE 0 END) + v, p[j]))], lambda t: list_transform(t, lambda v, j: list_max(t[1:j])))[1]) AS l FROM rows)
+SELECT query_id, record_id, coalesce(l[len(l)], 0)::INT AS lcs FROM last""")
 def highlight_lcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = best_window(F.col("ask"), F.col("full"))
     return _met(spark, sf_dir).select("query_id", "record_id", lcs_length(F.col("ask"), part).alias("lcs"))
@@ -379,10 +404,17 @@ def hourly_budget_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", "hour", "used", F.col("remaining").cast("bigint").alias("remaining"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_ms(ts::TIMESTAMP) AS ms, date_trunc('hour', ts::TIMESTAMP - INTERVAL 8 HOUR) AS h,
+  row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts::TIMESTAMP - INTERVAL 8 HOUR) ORDER BY ts, event_id) AS k FROM events),
+g AS (SELECT event_id, user_id, h, k, ms AS start, 1 AS minute, 1 AS hour, NULL::VARCHAR AS reason FROM n WHERE k = 1
+  UNION ALL SELECT event_id, user_id, h, k, start, minute + (reason IS NULL)::INT, hour + (reason IS NULL)::INT, reason FROM (
+    SELECT *, CASE WHEN minute >= 10 THEN 'PER_MINUTE_LIMIT' WHEN hour >= {_CAP} THEN 'PER_HOUR_IP_CAP' END AS reason FROM (
+      SELECT n.event_id, n.user_id, n.h, n.k, CASE WHEN n.ms - g.start > 60000 THEN n.ms ELSE g.start END AS start, CASE WHEN n.ms - g.start > 60000 THEN 0 ELSE g.minute END AS minute, g.hour
+      FROM g JOIN n ON n.user_id IS NOT DISTINCT FROM g.user_id AND n.h = g.h AND n.k = g.k + 1)))
+SELECT event_id, user_id, reason IS NULL AS allowed, reason FROM g""")
 def minute_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return quota.limited_requests(log, "user_id", "ts", "event_id", quota.client_cap({"a": 16, "b": 16, "c": 480})).select("event_id", "user_id", "allowed", "reason")
+    return quota.limited_requests(log, "user_id", "ts", "event_id", _CAP).select("event_id", "user_id", "allowed", "reason")
 
 
 @_query("""WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY date_trunc('hour', ts::TIMESTAMP - INTERVAL 8 HOUR) ORDER BY ts, event_id) AS k FROM events)
